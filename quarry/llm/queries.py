@@ -5,11 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import langid, packing, secretscan, sharding
 from quarry.llm.common import table
 from quarry.llm.simhash import near_duplicates
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-pass shuffle of all documents into 24 shards, whose row counts are at most one apart."""
+    found = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=24)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select(
+        "doc_id", sharding.row_bytes("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify_languages(docs, langid.learn(docs))
+    return found.select("doc_id", F.coalesce(~langid.not_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of 2048."""
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and positions of the secrets of every document."""
+    found = secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secretscan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
