@@ -94,6 +94,10 @@ def pack_examples(df: DataFrame, demands: Sequence[str], limits: Sequence[int],
     return rows.mapInArrow(pack, ", ".join([*fields, "sequence_id long", "position int"]))
 
 
+#: Bytes of UTF-8 with A-Z lower-cased and every ASCII white space a space.
+_ONE_SPACE = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")), np.uint8)
+
+
 class Tokens:
     """Token ids of texts by a ``tokenizers`` file whose words never cross white space.
 
@@ -139,7 +143,11 @@ class Tokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after another, and each text's number of ids; a null text has none."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        filled = pc.fill_null(texts, "").cast(pa.large_string())
+        raw = filled.buffers()[2]
+        bytes_ = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+        clean = pa.py_buffer(_ONE_SPACE[bytes_])
+        split = pc.split_pattern(pa.LargeStringArray.from_buffers(len(filled), filled.buffers()[1], clean, offset=filled.offset), " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

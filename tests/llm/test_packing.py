@@ -22,7 +22,7 @@ def plain():
 
 def test_word_cache_gives_the_tokenizers_ids(plain):
     rng = random.Random(2)
-    texts = ["a\0b A\0 \0 x", "", None, "Ünï İİ Å  x　y", "<|endoftext|> don't they'LL", "ΟΔΟΣ Σ", "\u0085 a\x1fb", "x, ., a.. b.,'s. it's, é. 1. a1, \0.", "a.", ","]
+    texts = ["a\0b A\0 \0 x", "", None, "Ünï İİ Å  x　y", "<|endoftext|> don't they'LL", "ΟΔΟΣ Σ", "\u0085 a\x1fb", "x, ., a.. b.,'s. it's, é. 1. a1, \0.", "a.", ",", "là à\u00a0b voilà\u0085 ça\u2003x"]
     texts += ["".join(rng.choice("abcABÉé .,'\n\t1_!") for _ in range(rng.randrange(60))) for _ in range(200)]
     tokens = packing.Tokens(PATH, keep=30)
     for part in (texts, texts[::-1], texts):
