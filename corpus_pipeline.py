@@ -1,12 +1,68 @@
-"""Documents to packed training sequences."""
+"""Documents to packed training sequences, in five stages, each an operator of ``quarry.llm``.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as
+the next stage's ``docs``. All but the last return the columns of documents. Null texts, empty tables, repeated rows
+and extra columns are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontam, langid, packing, secretscan
+from quarry.llm.common import materialised, table
+from quarry.llm.queries import word_tokenizer
+from quarry.llm.simhash import keep_one_of_each
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter (``und``) go.
+
+    What is learnt comes from the ``documents`` table's rows that are not held out.
+    """
+    return langid.drop_undetermined(docs, langid.learn(table(spark, sf_dir, "documents")))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return keep_one_of_each(docs)
+
 
-STAGES: list = []
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked and ``n_chars`` renewed where something was."""
+    return secretscan.redact_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents in sequences of 2048."""
+    return packing.pack_documents(docs, word_tokenizer())
+
+
+STAGES = [
+    ("language_id", identified),
+    ("near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("secret_scan", redacted),
+    ("packing", packed),
+]
+#: No SQL can tokenize; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over all documents, each written to the shared folder and read again but for the last."""
+
+    def step(docs: DataFrame, stage: tuple) -> DataFrame:
+        return materialised(stage[1](spark, docs, sf_dir), stage[0])[0]
+
+    last = functools.reduce(step, STAGES[:-1], table(spark, sf_dir, "documents"))
+    out = STAGES[-1][1](spark, last, sf_dir)
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -151,6 +151,18 @@ def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, lang
     return out
 
 
+def _predicted(parser: CrossParser, texts: list[str | None], batch_chars: int) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first, past the last, languages, scores) of runs of texts with about ``batch_chars`` characters."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size < batch_chars):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield start, stop, *parser.predict(texts[start:stop])
+        start = stop
+
+
 def identify_languages(
     docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21
 ) -> DataFrame:
@@ -166,16 +178,9 @@ def identify_languages(
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(samples)
         for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size < batch_chars):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                langs, score = parser.predict(texts[start:stop])
+            for start, stop, langs, score in _predicted(parser, batch.column(1).to_pylist(), batch_chars):
                 ids = batch.column(0).slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-                start = stop
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(identify, "doc_id long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
@@ -190,3 +195,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Samples from the rows of ``docs`` that are not held out."""
     labelled = docs.where(not_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return sample_texts(labelled, **bounds)
+
+
+def drop_undetermined(docs: DataFrame, samples: dict[str, str], text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
+    """The rows of ``docs`` whose text gets a language, with all their columns, in their partitions.
+
+    ``und`` rows go: null texts and texts without letters, and all rows where nothing was learnt.
+    """
+    schema, at = docs.schema, docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = CrossParser(samples)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            langs = [lang for _, _, found, _ in _predicted(parser, texts, batch_chars) for lang in found]
+            yield batch.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, schema)

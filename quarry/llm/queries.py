@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, langid, packing, secretscan, sharding
+from quarry.llm import decontam, hamming, importance, langid, packing, secretscan, sharding, toxicity, warc
 from quarry.llm.common import table
 from quarry.llm.simhash import near_duplicates
 
@@ -32,6 +32,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(~langid.not_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other rows, by sign codes, of every embedding whose id is divisible by 50."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming.hamming_top_k(codes, codes.where("id % 50 = 0"), k=10)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces in sequences of 2048."""
     found = packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -46,6 +52,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
+
     def count(kind: str) -> F.Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -53,6 +60,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC bundles and read back."""
+    index = warc.write_bundles(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, Gumbel rank and selection of every document, with documents of quality 1 as the target."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item in every document that holds 0.8 or more of its 5-word shingles."""
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,9 +82,39 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_TOP_K = """
+with codes as (
+    select vec_id as id, list_sum(list_transform(range(0, 32), lambda i: case when embedding[i + 1] > 0 then 1::bigint << i else 0 end)) as low,
+        list_sum(list_transform(range(0, 32), lambda i: case when embedding[i + 33] > 0 then 1::bigint << i else 0 end)) as high
+    from (select vec_id, embedding from embeddings where vec_id is not null and embedding is not null)
+), far as (
+    select q.id as query_id, c.id, cast(bit_count(xor(q.low::bigint, c.low::bigint)) + bit_count(xor(q.high::bigint, c.high::bigint)) as integer) as distance
+    from codes q join codes c on c.id <> q.id where q.id % 50 = 0
+), ranked as (select *, cast(row_number() over (partition by query_id order by distance, id) as integer) as rank from far)
+select query_id, rank, id, distance from ranked where rank <= 10
+"""
+
+_WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that gives the same rows. Where there is none, tests/llm compares with brute force or held-out labels."""
+    return {"op3_exact_top_k": _TOP_K, "op6_warc": _WARC}
