@@ -44,7 +44,7 @@ def parse_identifier(text: Column) -> Column:
     kind = F.create_map(*[F.lit(x) for k, v in TYPE_CODES.items() for x in (v, k)])
     parts = F.split(text, ":")
     good = text.rlike("^[a-z]+:[0-9]+:[a-z]{3}:[0-9a-f]{40}$")
-    checked = F.when(good, text).otherwise(F.raise_error(F.concat(F.lit("not a plain identifier: "), text)))
+    checked = F.when(good | text.isNull(), text).otherwise(F.raise_error(F.concat(F.lit("not a plain identifier: "), text)))
     return F.when(checked.isNotNull(), F.struct(kind[parts[2]].alias("object_type"), parts[3].alias("id")))
 
 

@@ -70,6 +70,6 @@ def byte_ranges(bits: int, start: str = "", end: str | None = None) -> list[tupl
         raise ArgumentError("bits must be 1 to 32")
     width = -(-bits // 8) * 2
     marks = [f"{i << (4 * width - bits):0{width}x}" for i in range(1 << bits)]
-    marks = [m for m in marks if m > start and (end is None or m < end)]
+    marks = [m for m in marks if m > start.ljust(width, "0") and (end is None or m < end.ljust(width, "0"))]
     edges: list[str | None] = [start or None, *marks, end]
     return list(zip(edges[:-1], edges[1:], strict=True))
