@@ -117,3 +117,29 @@ def check_hash_name(algo: str) -> str:
     if algo not in HASHES:
         raise ArgumentError(f"unknown hash {algo}")
     return algo
+
+
+def _plain(value):
+    """Rows as dicts, byte arrays as bytes."""
+    if isinstance(value, bytearray):
+        return bytes(value)
+    if hasattr(value, "asDict"):
+        return {k: _plain(v) for k, v in value.asDict().items()}
+    return [_plain(v) for v in value] if isinstance(value, list | tuple) else value
+
+
+def validate_objects(kind: str, objects):
+    """Gathered directories, revisions, releases or snapshots with ``valid boolean``: whether their id is that of their manifest.
+
+    A row that no manifest can be made from is not valid.
+    """
+    fields = [f.name for f in objects.schema]
+
+    def check(row) -> bool:
+        try:
+            own = _plain(row)
+            return object_id(kind, own) == own["id"]
+        except (KeyError, TypeError, AttributeError):
+            return False
+
+    return objects.withColumn("valid", F.udf(check, "boolean")(F.struct(*fields)))

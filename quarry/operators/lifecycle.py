@@ -73,3 +73,20 @@ def byte_ranges(bits: int, start: str = "", end: str | None = None) -> list[tupl
     marks = [m for m in marks if m > start.ljust(width, "0") and (end is None or m < end.ljust(width, "0"))]
     edges: list[str | None] = [start or None, *marks, end]
     return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def list_by_object_id(table: DataFrame, key: str, low, high, limit: int | None = None) -> DataFrame:
+    """Rows whose object id is in [low, high), in order: a listing by ranges of a growing id."""
+    rows = table.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high))).orderBy(key)
+    return rows if limit is None else rows.limit(limit)
+
+
+def observed(df: DataFrame, name: str, byte_column: str | None = None):
+    """``df`` and an ``Observation`` that has its row count (and bytes) once a job has run it; no job of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    counts = [F.count("*").alias("rows")]
+    if byte_column is not None:
+        counts.append(F.coalesce(F.sum(byte_column), F.lit(0)).alias("bytes"))
+    return df.observe(seen, *counts), seen

@@ -94,3 +94,9 @@ def discover(contents: DataFrame, skipped: DataFrame, directories: DataFrame, ha
         "skipped_content": missing(skipped, have["skipped_content"], "sha1_git"),
         "directory": missing(directories, have["directory"], "id"),
     }
+
+
+def filter_known(kind: str, new: DataFrame, table: DataFrame) -> DataFrame:
+    """What a write has to add: contents by sha256, skipped contents by sha1_git (a null one always passes), others by id."""
+    key = {"content": "sha256", "skipped_content": "sha1_git"}.get(kind, "id")
+    return new.join(table.where(F.col(key).isNotNull()), key, "left_anti").select(*new.columns)

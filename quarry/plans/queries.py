@@ -717,3 +717,119 @@ def metadata_migration_route(v):
     js = F.when(F.col("user_id") % 2 == 0, F.lit('{"extrinsic": {"provider": "https://registry.npmjs.org/x", "raw": {}}}')).otherwise(F.lit('{"a": 1}'))
     provider = migration.provider_of(F.col("metadata"))
     return rows.withColumn("metadata", js).select("user_id", provider.eqNullSafe(F.lit("npm")).alias("npm"))
+
+
+# Partitions, random rows, listings and the rest of the write path
+
+
+def _random(name: str, table: str, column: str, seed: int):
+    def run(v):
+        return paging.random_row(v(table).select(F.col(column).alias("id")).distinct(), "id", seed)
+
+    run.__name__ = name
+    return run
+
+
+for _name, _table, _column, _seed in (("content_get_random", "content", "sha1", 1), ("revision_get_random", "revision", "id", 2)):
+    query(f"select distinct {_column} as id from v_{_table} where {_column} >= sha1('{_seed}') order by 1 limit 1", _table)(_random(_name, _table, _column, _seed))
+
+
+@query("select distinct sha1(directory_id) as id from v_entry where sha1(directory_id) >= sha1('3') order by 1 limit 1", "entry")
+def directory_get_random(v):
+    return paging.random_row(v("entry").select(F.sha1("directory_id").alias("id")).distinct(), "id", 3)
+
+
+@query("select distinct sha1(directory_id) as id from v_entry where sha1(directory_id) >= '8000000000000000000000000000000000000000' and sha1(directory_id) < 'c000000000000000000000000000000000000000'", "entry")
+def directory_get_id_partition(v):
+    return paging.get_partition(v("entry").select(F.sha1("directory_id").alias("id")).distinct(), "id", 2, 4, as_hex=True)[0]
+
+
+@query("select sha1(cast(id as varchar)) as id from v_snapshot where sha1(cast(id as varchar)) < '2000000000000000000000000000000000000000' order by 1 limit 25", "snapshot")
+def snapshot_get_id_partition(v):
+    ids = v("snapshot").select(F.sha1(F.col("id").cast("string").cast("binary")).alias("id"))
+    return paging.get_partition(ids, "id", 0, 8, limit=25, as_hex=True)[0]
+
+
+@query("select sha1(cast(id as varchar)) as id from v_snapshot where sha1(cast(id as varchar)) >= sha1('4') order by 1 limit 1", "snapshot")
+def snapshot_get_random(v):
+    return paging.random_row(v("snapshot").select(F.sha1(F.col("id").cast("string").cast("binary")).alias("id")), "id", 4)
+
+
+@query("select doc_id, sha1 from v_content where doc_id >= 20 and doc_id < 60", "content")
+def content_list_by_object_id(v):
+    return lifecycle.list_by_object_id(v("content").select("doc_id", "sha1"), "doc_id", 20, 60)
+
+
+@query("select conv_id, turn, id from v_revision where conv_id >= 3 and conv_id < 9", "revision")
+def revision_list_by_object_id(v):
+    return lifecycle.list_by_object_id(v("revision").select("conv_id", "turn", "id"), "conv_id", 3, 9)
+
+
+@query("select p_partkey, p_name from part where p_partkey >= 10 and p_partkey < 50")
+def release_list_by_object_id(v):
+    return lifecycle.list_by_object_id(v("part").select("p_partkey", "p_name"), "p_partkey", 10, 50)
+
+
+@query(
+    "select coalesce(a.name, b.name) as name, a.target = b.target as same_hash, a.perms = b.perms as same_perms, a.type = 'dir' and b.type = 'dir' as both_are_dirs, a.type <> 'dir' and b.type <> 'dir' as both_are_files, (a.type = 'dir') <> (b.type = 'dir') as file_and_dir from (select * from v_entry where directory_id = 'r1') a full join (select * from v_entry where directory_id = 'q1') b on a.name = b.name",
+    "entry",
+)
+def directory_compare(v):
+    pairs = v("region").limit(1).select(F.lit(1).alias("pair"), F.lit("r1").alias("old_dir"), F.lit("q1").alias("new_dir"))
+    return diff.compare_entries(pairs, v("entry")).select("name", "same_hash", "same_perms", "both_are_dirs", "both_are_files", "file_and_dir")
+
+
+@query("select sha256, doc_id from v_content c where doc_id % 2 = 0 and not exists (select 1 from v_content o where o.sha256 = c.sha256 and o.doc_id % 4 = 1)", "content")
+def filter_known_contents(v):
+    c = v("content").select("sha256", "doc_id")
+    return membership.filter_known("content", c.where("doc_id % 2 = 0"), c.where("doc_id % 4 = 1"))
+
+
+@query("select sha1_git, length from v_skipped s where not exists (select 1 from v_skipped o where o.sha1_git = s.sha1_git and o.length % 3 = 0)", "skipped")
+def filter_known_skipped_contents(v):
+    s = v("skipped").select("sha1_git", "length")
+    return membership.filter_known("skipped_content", s, s.where("length % 3 = 0"))
+
+
+@query("select user_id, event_id, cast(floor((row_number() over (partition by user_id order by event_id) - 1) / 10) as bigint) as batch from events")
+def buffer_batches(v):
+    return journal.buffer_batches(v("events").select("user_id", "event_id"), "user_id", "event_id", 10)
+
+
+@query("select snapshot_id, name, target_type, target from v_branch where snapshot_id % 10 = 3", "branch")
+def snapshot_get_all_branches(v):
+    return snapshot.snapshot_branches(v("branch").where("snapshot_id % 10 = 3"))
+
+
+@query(
+    "select origin, id, snapshot from (select s.origin, h.target as id, s.snapshot, row_number() over (partition by s.origin, h.target order by s.visit desc, s.date desc, s.snapshot desc) as n from v_status s join hashed h on h.snapshot_id = s.snapshot where h.target_type = 'revision') where n = 1",
+    "status", "branch", recursive=_HASHED,
+)
+def snapshot_id_from_revision(v):
+    s, b = v("status"), _hashed(v)
+    asked = s.where("snapshot is not null").select("origin", F.col("snapshot").alias("snapshot_id")).distinct().join(b.where("target_type = 'revision'"), "snapshot_id").select("origin", F.col("target").alias("id")).distinct()
+    return snapshot.snapshot_id_from_revision(asked, s, b)
+
+
+@query("select b.snapshot_id, b.name, case when b.target_type = 'revision' then 'revision' end as target_type from v_branch b where b.snapshot_id % 100 = 1 and coalesce(b.target_type, '') <> 'alias'", "branch")
+def snapshot_resolve_alias(v):
+    b = v("branch")
+    asked = b.where("snapshot_id % 100 = 1 and coalesce(target_type, '') <> 'alias'").select(F.struct("snapshot_id", "name").alias("ord"), "snapshot_id", "name")
+    return snapshot.snapshot_resolve_alias(asked, b).select("ord.snapshot_id", "ord.name", "target_type")
+
+
+@query("select url_match, request, state from v_rule where request = 10", "rule")
+def blocking_states_for_request(v):
+    return policy.states_for_request(v("rule"), 10)
+
+
+@query("select object_id, object_type, string_agg(request || ':' || state, ',' order by request, state) as masks from v_mask where state <> 'visible' group by 1, 2", "mask")
+def masking_iterate(v):
+    return policy.iterate_masked(v("mask")).withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["request"], m["state"])), ","))
+
+
+@query("select user_id, event_id, event_type <> 'error' as good from events")
+def tenacious_split(v):
+    rows = v("events").select("user_id", "event_id", "event_type")
+    good, bad = journal.tenacious(rows, F.col("event_type") != "error", 1.0)
+    return good.select("user_id", "event_id", F.lit(True).alias("good")).union(bad.select("user_id", "event_id", F.lit(False)))

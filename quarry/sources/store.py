@@ -66,3 +66,36 @@ class Archive:
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """Files under a folder as ``(path, length, data)``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).selectExpr("path", "length", "content as data")
+
+
+class ReferenceWeeks:
+    """Object references as a Parquet folder with a directory per ISO week, which opens, lists and drops weeks."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, week: tuple[int, int]):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/iso_year={week[0]}/iso_week={week[1]}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def create(self, weeks: list[tuple[int, int]]) -> None:
+        for week in weeks:
+            fs, where = self._at(week)
+            fs.mkdirs(where)
+
+    def list(self) -> list[tuple[int, int]]:
+        fs, where = self._at((0, 0))
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/iso_year=*/iso_week=*")) or []
+        return sorted(tuple(int(part.split("=")[1]) for part in s.getPath().toString().split("/")[-2:]) for s in found)
+
+    def drop(self, weeks: list[tuple[int, int]]) -> None:
+        for week in weeks:
+            fs, where = self._at(week)
+            fs.delete(where, True)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("iso_year", "iso_week").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        """All weeks; filters on ``iso_year`` and ``iso_week`` read only those."""
+        return self.spark.read.schema(TABLES["object_reference"]).parquet(self.path)

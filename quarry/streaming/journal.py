@@ -129,3 +129,36 @@ def with_retries(action: Callable, attempts: int = 3, wait: float = 0.1, fatal:
             if k == attempts - 1:
                 raise
             time.sleep(wait * 2**k)
+
+
+def buffer_batches(rows: DataFrame, by: str, order: str, most_rows: int, size: str | None = None, most_size: int | None = None) -> DataFrame:
+    """``rows`` with ``batch long``: per ``by``, runs in ``order`` of at most ``most_rows``, and about ``most_size`` of ``size``.
+
+    A new batch begins after each ``most_rows`` rows and where the running sum passes a multiple of ``most_size``.
+    """
+    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / most_rows)
+    if size is None:
+        return rows.withColumn("batch", full.cast("long"))
+    before = F.sum(size).over(upto) - F.col(size)
+    cuts = rows.withColumn("_a", full).withColumn("_b", F.floor(before / most_size))
+    change = F.when((F.lag("_a").over(Window.partitionBy(by).orderBy(order)) != F.col("_a")) | (F.lag("_b").over(Window.partitionBy(by).orderBy(order)) != F.col("_b")), 1).otherwise(0)
+    return cuts.withColumn("_c", change).withColumn("batch", F.sum("_c").over(upto).cast("long")).drop("_a", "_b", "_c")
+
+
+def ingest_contents(archive: Archive, new: DataFrame, log: str) -> dict[str, int]:
+    """Add contents with their bytes: blobs first, then the log, then the table, so that what is listed can be read.
+
+    Rows whose hashes are not those of their bytes are left out. Run again, it adds nothing. Returns the summary.
+    """
+    from quarry.operators.content import validate_contents
+    from quarry.session import cut
+
+    valid = validate_contents(new).where("valid").drop("valid")
+    fresh = cut(new_rows(valid, archive.read("content"), KEYS["content"]), "ingest")
+    archive.append("content_data", new_rows(fresh.select("sha256", "data"), archive.read("content_data"), ["sha256"]))
+    rows = fresh.drop("data").withColumn("ctime", F.current_timestamp())
+    write_log(to_log("content", rows), log)
+    archive.append("content", rows)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return {"content:add": n, "content:add:bytes": size}

@@ -59,3 +59,11 @@ def test_url_candidates(spark):
         {"https://h.org/a/b.git/", "https://h.org/a/b.git", "https://h.org/a/b", "https://h.org/a", "https://h.org"},
         {"https://h.org/a/b", "https://h.org/a", "https://h.org"}, {"https://h.org"}, {"http://h/x.svn", "http://h/x", "http://h"},
     ]
+
+
+def test_objects_are_checked_against_their_ids(spark):
+    entry = (b"f", "file", bytes(20), 0o100644)
+    good = identity.object_id("directory", {"entries": [dict(zip(("name", "type", "target", "perms"), entry, strict=True))]})
+    rows = [(good, None, [entry]), (bytes(20), None, [entry]), (hashlib.sha1(b"tree 1\0x").digest(), b"x", [entry]), (good, None, [(None, "file", bytes(20), 1)])]
+    df = spark.createDataFrame(rows, "id binary, raw_manifest binary, entries array<struct<name binary, type string, target binary, perms int>>")
+    assert [r.valid for r in identity.validate_objects("directory", df).collect()] == [True, False, True, False]

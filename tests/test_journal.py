@@ -82,3 +82,43 @@ def test_blobs_from_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "f").write_bytes(b"abc")
     assert [(r.length, bytes(r.data)) for r in read_blobs(spark, f"file://{tmp_path}").collect()] == [(3, b"abc")]
+
+
+def test_contents_come_with_their_bytes(spark, tmp_path):
+    import hashlib
+
+    archive = Archive(spark, f"file://{tmp_path}/a")
+
+    def hashed(data, real=None):
+        own = real or data
+        sha1 = lambda b: hashlib.sha1(b).digest()
+        return sha1(own), sha1(b"blob %d\0" % len(own) + own), hashlib.sha256(own).digest(), hashlib.blake2s(own).digest(), len(data), "visible", None, data
+
+    schema = TABLES["content"].fields + TABLES["content_data"].fields[1:]
+    new = spark.createDataFrame([hashed(b"one"), hashed(b"one"), hashed(b"two!"), hashed(b"bad", b"dab")], type(TABLES["content"])(schema))
+    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 2, "content:add:bytes": 7}
+    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 0, "content:add:bytes": 0}
+    assert sorted(bytes(r.data) for r in archive.read("content_data").collect()) == [b"one", b"two!"]
+    assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
+
+
+def test_reference_weeks_open_and_close(spark, tmp_path):
+    import datetime
+
+    from quarry.operators import references
+    from quarry.sources.store import ReferenceWeeks
+
+    weeks = ReferenceWeeks(spark, f"file://{tmp_path}/refs")
+    assert weeks.list() == []
+    weeks.create([(2024, 18), (2024, 19)])
+    new = spark.createDataFrame([("revision", b"r", "directory", b"d")], "source_type string, source binary, target_type string, target binary")
+    weeks.append(references.object_references_add(new, None, datetime.date(2024, 5, 1), set(weeks.list())))
+    assert weeks.list() == [(2024, 18), (2024, 19)] and weeks.read().where("iso_week = 18").count() == 1
+    weeks.drop([(2024, 18)])
+    assert weeks.list() == [(2024, 19)]
+
+
+def test_buffers_flush_by_count_and_size(spark):
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([1, 1, 1, 9, 1, 1])] + [("b", 0, 1)], "k string, n int, size int")
+    got = {(r.k, r.n): r.batch for r in journal.buffer_batches(df, "k", "n", 4, "size", 10).collect()}
+    assert [got["a", i] for i in range(6)] == [0, 0, 0, 0, 1, 1] and got["b", 0] == 0

@@ -227,3 +227,9 @@ def test_pipelines_from_config(spark):
     assert [r.id for r in run(spark.range(4)).collect()] == [7, 8]
     with pytest.raises(ArgumentError):
         pipeline.build([{"cls": "cache"}], known)
+
+
+def test_counts_are_observed_without_a_job(spark):
+    df, seen = lifecycle.observed(spark.range(7), "added", "id")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 7, "bytes": 21}
