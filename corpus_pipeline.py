@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, langid, packing, secretscan
-from quarry.llm.common import materialised, table
+from quarry.llm.common import documents, materialised, table
 from quarry.llm.queries import word_tokenizer
 from quarry.llm.simhash import keep_one_of_each
 
@@ -63,6 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     def step(docs: DataFrame, stage: tuple) -> DataFrame:
         return materialised(stage[1](spark, docs, sf_dir), stage[0])[0]
 
-    last = functools.reduce(step, STAGES[:-1], table(spark, sf_dir, "documents"))
+    last = functools.reduce(step, STAGES[:-1], documents(spark, sf_dir))
     out = STAGES[-1][1](spark, last, sf_dir)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.errors import ArgumentError
-from quarry.schemas import TYPE_CODES
+from quarry.schemas import HASHES, TYPE_CODES
 
 
 def git_object_id(kind: str, manifest: Column) -> Column:
@@ -112,8 +112,6 @@ def object_id(kind: str, row: dict) -> bytes:
 
 
 def check_hash_name(algo: str) -> str:
-    from quarry.schemas import HASHES
-
     if algo not in HASHES:
         raise ArgumentError(f"unknown hash {algo}")
     return algo

@@ -137,13 +137,13 @@ def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, lang
     (an error otherwise); what reaches the driver is bounded by these three parameters.
     """
     good = labelled.where("text is not null and lang is not null")
+    if good.select("lang").distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"more than {languages} languages")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(17)), "id", "text")
     # a sample text gives what one row can add at most
     picked = good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     share = -(-chars * 4 // rows)
     cut = picked.select("lang", "rank", F.substring("text", 1, share).alias("text"))
-    if cut.select("lang").distinct().count() > languages:
-        raise ValueError(f"more than {languages} languages")
     out: dict[str, str] = {}
     for lang, _, text in sorted(map(tuple, cut.collect())):
         if len(out.get(lang, "")) < chars:

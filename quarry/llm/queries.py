@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, hamming, importance, langid, packing, secretscan, sharding, toxicity, warc
-from quarry.llm.common import table
+from quarry.llm.common import documents, table
 from quarry.llm.simhash import near_duplicates
 
 
@@ -27,8 +27,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the rows that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    found = langid.identify_languages(docs, langid.learn(docs))
+    samples = langid.learn(table(spark, sf_dir, "documents"))
+    found = langid.identify_languages(documents(spark, sf_dir), samples)
     return found.select("doc_id", F.coalesce(~langid.not_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -40,13 +40,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces in sequences of 2048."""
-    found = packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+    found = packing.pack_documents(documents(spark, sf_dir), word_tokenizer())
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and positions of the secrets of every document."""
-    found = secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secretscan.scan_secrets(documents(spark, sf_dir))
 
     def joined(spans: F.Column) -> F.Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -68,24 +68,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, Gumbel rank and selection of every document, with documents of quality 1 as the target."""
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item in every document that holds 0.8 or more of its 5-word shingles."""
-    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    found = toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = toxicity.score_toxicity(documents(spark, sf_dir), model)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError
@@ -20,16 +20,16 @@ def ancestors(roots: DataFrame, parents: DataFrame, max_depth: int = 1_000_000)
     join, so merges cost nothing twice. Each round is written to the shared folder.
     """
     edges = parents.select(F.col("id").alias("_from"), F.col("parent_id").alias("_to")).distinct()
-    front = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct(), "front")
+    front, _ = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct(), "front")
     seen = front
     for depth in range(1, max_depth + 1):
         step = front.join(edges, F.col("id") == F.col("_from")).select("root", F.col("_to").alias("id"), F.lit(depth).alias("depth")).distinct()
-        front = cut(step.join(seen, ["root", "id"], "left_anti"), "front")
-        if front.isEmpty():
+        front, n = cut(step.join(seen, ["root", "id"], "left_anti"), "front")
+        if not n:
             return seen
         seen = seen.unionByName(front)
         if depth % 16 == 0:
-            seen = cut(seen, "seen")
+            seen, _ = cut(seen, "seen")
     raise RecursionError(f"history is longer than {max_depth}")
 
 
@@ -38,8 +38,6 @@ def revision_log(roots: DataFrame, revisions: DataFrame, parents: DataFrame, lim
     rows = ancestors(roots, parents).join(revisions, "id")
     if limit is None:
         return rows
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))
     return rows.withColumn("_n", nth).where(F.col("_n") <= limit).drop("_n")
 

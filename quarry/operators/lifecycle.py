@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError
@@ -52,9 +52,8 @@ def object_delete(asked: DataFrame, tables: dict[str, tuple[DataFrame, str]]) ->
 
 
 def fix_objects(rows: DataFrame) -> DataFrame:
-    """Repairs of objects from old change logs: drop the deprecated ``metadata`` column and visits' ``perms``-less leftovers.
-
-    An extrinsic metadata row whose target is an origin's url gets the origin's identifier instead.
+    """Repairs of objects from old change logs: the deprecated ``metadata`` column goes, and an extrinsic metadata row
+    of ``type`` origin whose target is a url gets the origin's identifier instead.
     """
     out = rows.drop("metadata")
     if {"type", "target"} <= set(out.columns) and dict(out.dtypes)["target"] == "string":
@@ -83,8 +82,6 @@ def list_by_object_id(table: DataFrame, key: str, low, high, limit: int | None =
 
 def observed(df: DataFrame, name: str, byte_column: str | None = None):
     """``df`` and an ``Observation`` that has its row count (and bytes) once a job has run it; no job of its own."""
-    from pyspark.sql import Observation
-
     seen = Observation(name)
     counts = [F.count("*").alias("rows")]
     if byte_column is not None:

@@ -22,9 +22,7 @@ def release_add(new: DataFrame, release: DataFrame) -> DataFrame:
 
 def revision_get(ids: DataFrame, revision: DataFrame, parents: DataFrame) -> DataFrame:
     """Aligned revisions with their parents in order; nulls for unknown ids."""
-    rows = ids.join(revision, "id", "left").join(parent_lists(parents), "id", "left")
-    known = F.col("parents") if "known" not in revision.columns else F.col("parents")
-    return rows.withColumn("parents", known)
+    return ids.join(revision, "id", "left").join(parent_lists(parents), "id", "left")
 
 
 def release_get(ids: DataFrame, release: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError
@@ -65,7 +65,7 @@ def snapshot_branch_get_by_name(asked: DataFrame, branches: DataFrame, max_chain
         step = now.join(own, ["snapshot_id", "_at"], "left")
         step = step.withColumn("met", F.array_contains("chain", F.col("_at"))).withColumn("chain", F.when(F.col("_hit"), F.concat("chain", F.array("_at"))).otherwise(F.col("chain")))
         alias = F.coalesce(F.col("_b.target_type") == "alias", F.lit(False))
-        step = cut(step.withColumn("alias", alias).withColumn("over", ~alias | F.col("met") | (F.size("chain") >= max_chain)), "alias")
+        step, _ = cut(step.withColumn("alias", alias).withColumn("over", ~alias | F.col("met") | (F.size("chain") >= max_chain)), "alias")
         target = F.when(~F.col("alias"), F.col("_b"))
         done.append(step.where("over").select("ord", (F.size("chain") > 0).alias("branch_found"), target["target_type"].alias("target_type"), target["target"].alias("target"), F.col("chain").alias("aliases_followed")))
         now = step.where("not over").select("ord", "snapshot_id", F.col("_b.target").cast(kind).alias("_at"), "chain")
@@ -89,8 +89,6 @@ def snapshot_get_latest(origins: DataFrame, statuses: DataFrame, branches: DataF
     found = last.join(branches, "snapshot_id")
     if branches_count is None:
         return found
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("origin").orderBy("name"))
     return found.withColumn("_n", nth).where(F.col("_n") <= branches_count).drop("_n")
 

@@ -11,8 +11,8 @@ from quarry.errors import ArgumentError
 def page(df: DataFrame, keys: list[str], limit: int, after: tuple | None = None, descending: bool = False) -> tuple[DataFrame, tuple | None]:
     """The first ``limit`` rows past ``after`` in the order of ``keys``, and the token of the next page (None: no more).
 
-    The token is the last returned row's keys; ``keys`` must order rows totally. One job finds the token, and
-    reads the rows by a top-k over all partitions, never a full sort.
+    The token is the last returned row's keys; ``keys`` must order rows totally. Pages are a top-k over all
+    partitions, never a full sort.
     """
     if limit <= 0:
         raise ArgumentError("limit must be positive")
@@ -21,10 +21,8 @@ def page(df: DataFrame, keys: list[str], limit: int, after: tuple | None = None,
         here = F.struct(*keys)
         df = df.where(here < mark if descending else here > mark)
     order = [F.desc(k) if descending else F.asc(k) for k in keys]
-    rows = df.orderBy(*order).limit(limit)
-    ends = df.select(*keys).orderBy(*order).limit(limit + 1).tail(2)
-    more = len(ends) == 2 and df.select(*keys).orderBy(*order).limit(limit + 1).count() > limit
-    return rows, tuple(ends[0]) if more else None
+    found = df.select(*keys).orderBy(*order).limit(limit + 1).collect()  # one page of keys
+    return df.orderBy(*order).limit(limit), tuple(found[limit - 1]) if len(found) > limit else None
 
 
 def page_from(df: DataFrame, keys: list[str], limit: int, start: tuple | None = None) -> tuple[DataFrame, tuple | None]:

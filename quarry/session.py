@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -28,8 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: a short plan that lost executors don't undo."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """``df`` written as Parquet to the shared folder and read again, and its number of rows.
+
+    A short plan that lost executors don't undo; the rows are counted by the job that writes them.
+    """
+    path, seen = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.errors import ArgumentError
-from quarry.operators.content import new_rows, without_collisions
+from quarry.operators.content import new_rows, validate_contents, without_collisions
 from quarry.schemas import TABLES
+from quarry.session import cut
 from quarry.sources.store import Archive
 
 #: Tables in the order in which their rows may be added: what is referred to comes first.
@@ -118,8 +120,6 @@ def tenacious(rows: DataFrame, valid: F.Column, most_errors: float) -> tuple[Dat
 
 def with_retries(action: Callable, attempts: int = 3, wait: float = 0.1, fatal: tuple[type[Exception], ...] = (ArgumentError,)):
     """Run a driver-side action again on failure, waiting twice as long each time; never on ``fatal`` errors."""
-    import time
-
     for k in range(attempts):
         try:
             return action()
@@ -151,14 +151,10 @@ def ingest_contents(archive: Archive, new: DataFrame, log: str) -> dict[str, int
 
     Rows whose hashes are not those of their bytes are left out. Run again, it adds nothing. Returns the summary.
     """
-    from quarry.operators.content import validate_contents
-    from quarry.session import cut
-
     valid = validate_contents(new).where("valid").drop("valid")
-    fresh = cut(new_rows(valid, archive.read("content"), KEYS["content"]), "ingest")
+    fresh, n = cut(new_rows(valid, archive.read("content"), KEYS["content"]), "ingest")
     archive.append("content_data", new_rows(fresh.select("sha256", "data"), archive.read("content_data"), ["sha256"]))
     rows = fresh.drop("data").withColumn("ctime", F.current_timestamp())
     write_log(to_log("content", rows), log)
     archive.append("content", rows)
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return {"content:add": n, "content:add:bytes": size}
+    return {"content:add": n, "content:add:bytes": rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]}
