@@ -205,7 +205,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
             for file, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield _rows(list(parse(_reader(cache, file).frame(frame))))
 
-    return frames.repartition(parts, "file", "frame").sortWithinPartitions("file", "frame").mapInArrow(read, _SCHEMA)
+    # by another key than distinct() deals by: else its exchange serves, whose few bytes AQE puts into one task
+    return frames.repartition(parts, F.xxhash64("file", "frame")).sortWithinPartitions("file", "frame").mapInArrow(read, _SCHEMA)
 
 
 def look_up(index: DataFrame, ids: DataFrame) -> DataFrame:
