@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.llm import decontam, langid, packing, secretscan
 from quarry.llm.common import documents, materialised, table
 from quarry.llm.queries import word_tokenizer
-from quarry.llm.simhash import keep_one_of_each
+from quarry.llm.nearcopies import keep_one_of_each
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies (5-word shingles, similarity of 0.8): the one with the smallest id."""
     return keep_one_of_each(docs)
 
 
