@@ -21,6 +21,8 @@ KINDS = (*BASE, "entropy")
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: Least bits of entropy a window must have, by class. A random window of 20 has about 3.4 bits (16 symbols) or 4.1 (64).
 LEAST_BITS = {"hex": 3.0, "base64": 3.6}
+#: The scan's classes: also hex with hyphens, one-case letters with digits (base36, base32), and mixed letters without digits.
+SCAN_BITS = LEAST_BITS | {"uuid": 3.0, "lower": 3.5, "upper": 3.4, "letters": 3.8}
 #: Candidates that contain one of these (in any case) are no secrets: alphabets, digests of nothing, placeholders.
 ALLOWED = (
     "0123456789abcdef", "abcdefghijklmnop", "d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709",
@@ -32,38 +34,57 @@ _CANDIDATE = re.compile(CANDIDATE)
 
 
 def _kind(c: str) -> int:
-    """0 digit, 1 a-f, 2 A-F, 3 other lower-case letter, 4 other capital, 5 the rest."""
+    """0 digit, 1 a-f, 2 A-F, 3 other lower-case letter, 4 other capital, 5 hyphen, 6 the rest."""
     if c <= "9" and c >= "0":
         return 0
     if c in "abcdef":
         return 1
     if c in "ABCDEF":
         return 2
-    return 3 if c.islower() else 4 if c.isupper() else 5
+    return 3 if c.islower() else 4 if c.isupper() else 5 if c == "-" else 6
 
 
 def window_class(kinds: list[int], width: int) -> str | None:
     """The character class of a window with so many characters of each kind; None: of no class that hides secrets."""
-    digits, low, high, lower, upper, _ = kinds
+    digits, low, high, lower, upper, hyphens, _ = kinds
     if digits >= 2 and digits + low + high == width and bool(low) != bool(high):
         return "hex"
     if digits >= 2 and low + lower >= 2 and high + upper >= 2:
         return "base64"
+    if hyphens and digits >= 2 and low + high >= 2 and bool(low) != bool(high) and digits + low + high + hyphens == width:
+        return "uuid"
+    if digits >= 2 and digits + low + lower == width:
+        return "lower"
+    if digits >= 2 and digits + high + upper == width:
+        return "upper"
+    # names in camel case have few capitals
+    if low + lower >= 6 and high + upper >= 6 and low + lower + high + upper == width:
+        return "letters"
     return None
 
 
-def entropy_spans(text: str, least=LEAST_BITS, allowed=ALLOWED, width: int = WINDOW) -> list[tuple[int, int]]:
-    """Merged windows of candidate strings whose entropy reaches their class's least; counts move with the window."""
+def entropy_spans(text: str, least=LEAST_BITS, allowed=ALLOWED, width: int = WINDOW, near: bool = False) -> list[tuple[int, int]]:
+    """Merged windows of candidate strings whose entropy reaches their class's least; counts move with the window.
+
+    Classes that ``least`` lacks are passed over. ``near``: an allowed string suppresses only the windows that overlap it,
+    else the whole candidate, and so does a candidate's being all letters.
+    """
     out: list[tuple[int, int]] = []
     term = [0.0] + [k * math.log2(k) for k in range(1, width + 2)]
     full = math.log2(width)
     for found in _CANDIDATE.finditer(text):
         word, base = found.group(), found.start()
-        if len(word) < width or word.isalpha() or any(a in word.lower() for a in allowed):
+        plain = word.lower()
+        listed = [a for a in allowed if a in plain]
+        if len(word) < width or (not near and (listed or word.isalpha())) or (word.isalpha() and (word == plain or word.isupper())):
             continue
+        # free[i]: how many characters up to and with i no allowed string has covered, without a break
+        covered = {p for a in listed for m in re.finditer(f"(?={re.escape(a)})", plain) for p in range(m.start(), m.start() + len(a))}
+        free = 0
         counts: dict[str, int] = {}
-        kinds, weight = [0] * 6, 0.0
+        kinds, weight = [0] * 7, 0.0
         for i, c in enumerate(word):
+            free = 0 if i in covered else free + 1
             n = counts.get(c, 0)
             counts[c] = n + 1
             weight += term[n + 1] - term[n]
@@ -74,7 +95,7 @@ def entropy_spans(text: str, least=LEAST_BITS, allowed=ALLOWED, width: int = WIN
                 counts[gone] = n - 1
                 weight += term[n - 1] - term[n]
                 kinds[_kind(gone)] -= 1
-            if i >= width - 1 and (name := window_class(kinds, width)) and full - weight / width >= least[name] - 1e-9:
+            if free >= width and (name := window_class(kinds, width)) in least and full - weight / width >= least[name] - 1e-9:
                 start, end = base + i - width + 1, base + i + 1
                 if out and out[-1][1] >= start:
                     out[-1] = (out[-1][0], end)
@@ -90,7 +111,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     out = []
     for k, (kind, pattern, group, least) in enumerate(_BASE):
         out += [(m.start(), k, kind, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    out += [(a, len(_BASE), "entropy", b) for a, b in entropy_spans(text)]
+    out += [(a, len(_BASE), "entropy", b) for a, b in entropy_spans(text, SCAN_BITS, near=True)]
     return [(kind, start, end) for start, _, kind, end in sorted(out)]
 
 

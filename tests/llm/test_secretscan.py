@@ -75,3 +75,13 @@ def test_scan_and_redaction_of_odd_rows(spark):
 
 def test_touching_spans_make_one_mark():
     assert s.redacted("abcdef", [("hex", 1, 3), ("entropy", 2, 4), ("hex", 5, 6)], "#") == "a#e#"
+
+
+@pytest.mark.parametrize(
+    "secret", ["k3v9zq7wm2x8r5tj4n6hb1yp", "JBSW4Y3DPEHPK3PXKRQW7ZLN2VMA", "3f2b8c1d-9a47-4e60-b5d8-71c0fe92a634", "qWbXzKdRmTyHgLpVnCsJfEuA", f"path/example/{KEY}"]
+)
+def test_scan_measures_all_classes_and_what_stands_beside_allowed_strings(secret):
+    text = f"see {secret} here"
+    found = [text[a:b] for kind, a, b in s.spans(text) if kind == "entropy"]
+    assert len(found) == 1 and len(found[0]) >= len(secret) - len("path/example/")
+    assert s.spans("getAbstractFactoryBeanNameResolver 2023-01-02-03-04-05-06 example-placeholder-xxxxxxxx donaudampfschifffahrt") == []
