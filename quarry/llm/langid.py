@@ -130,20 +130,24 @@ class CrossParser:
 
 
 def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, languages: int = 1000) -> dict[str, str]:
-    """Bounded samples of ``labelled(id, text, lang)``: language -> ``chars`` characters at most, from at most ``rows`` rows.
+    """Bounded samples of ``labelled(id, text, lang)``: language -> ``chars`` characters at most, from at most ``rows`` distinct texts.
 
-    Rows come in the order of a seeded hash of the id. Each map task keeps ``rows`` rows a language before the
-    shuffle, so a language with most of the rows makes no large group. At most ``languages`` labels are learnt
-    (an error otherwise); what reaches the driver is bounded by these three parameters.
+    Texts come in the order of a seeded hash, copies once. Each gives one passage of ``4 * chars / rows`` characters that
+    starts anywhere in the whole text, by the same hash; a shorter text is taken whole. So the sample is full after
+    ``rows / 4`` long texts. At most ``languages`` labels are learnt (an error otherwise); what reaches the driver is
+    bounded by these three parameters.
     """
     good = labelled.where("text is not null and lang is not null")
     if good.select("lang").distinct().limit(languages + 1).count() > languages:
         raise ValueError(f"more than {languages} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(17)), "id", "text")
-    # a sample text gives what one row can add at most
-    picked = good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     share = -(-chars * 4 // rows)
-    cut = picked.select("lang", "rank", F.substring("text", 1, share).alias("text"))
+    good = good.withColumn("key", F.xxhash64("text", F.lit(17)))
+    order = Window.partitionBy("lang").orderBy("key")
+    keys = good.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    start = F.pmod(F.xxhash64("key", F.lit(29)), F.greatest(F.length("text") - share + 1, F.lit(1))) + 1
+    passage = F.substring("text", start.cast("int"), F.lit(share))
+    # every copy of a text gives the same passage
+    cut = good.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "rank").agg(F.first(passage).alias("text"))
     out: dict[str, str] = {}
     for lang, _, text in sorted(map(tuple, cut.collect())):
         if len(out.get(lang, "")) < chars:

@@ -85,3 +85,11 @@ def test_samples_are_bounded_and_never_held_out(spark):
     assert used and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in used)
     with pytest.raises(ValueError):
         langid.learn(docs.withColumn("lang", docs["doc_id"].cast("string")), languages=5)
+
+
+def test_samples_take_passages_of_distinct_texts_from_anywhere(spark):
+    head = "the same opening of every text " * 20
+    rows = [(i, head + " ".join(f"{chr(97 + i % 26)}{chr(97 + k % 26)}body" for k in range(400)), "en") for i in range(40)]
+    rows += [(1000 + i, "copied words again", "en") for i in range(300)]
+    sample = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
+    assert sample.count("body") > 500 and sample.count("copied words again") <= 1
