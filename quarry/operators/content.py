@@ -11,6 +11,7 @@ from quarry.errors import ArgumentError
 from quarry.functions.identity import check_hash_name, content_hashes
 from quarry.operators.membership import null_safe_missing
 from quarry.schemas import HASHES
+from quarry.session import cut
 
 
 def new_rows(new: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,17 +92,19 @@ def content_find_directory(ids: DataFrame, entries: DataFrame, max_depth: int =
     """``(id, directory_id, path)``: one root directory and path for each content, climbing parents.
 
     Of several parents the one with the smallest (directory, name) is climbed, so the answer is fixed. A content
-    in no directory gives no row. One join per level, over all contents at once.
+    in no directory gives no row. One join per level, over all contents at once; ``RecursionError`` where a root is more
+    than ``max_depth`` levels up.
     """
     up = entries.groupBy("target").agg(F.min(F.struct("directory_id", "name")).alias("p")).select("target", F.col("p.directory_id").alias("parent"), F.col("p.name").alias("step"))
     now = ids.select("id").distinct().join(up, ids["id"] == up["target"]).select("id", F.col("parent").alias("directory_id"), F.col("step").alias("path"))
-    done = None
+    slash = F.lit("/") if dict(now.dtypes)["path"] == "string" else F.lit(bytearray(b"/"))
+    up, _ = cut(up, "parents")
+    done = []
     for _ in range(max_depth):
-        climbed = now.join(up, now["directory_id"] == up["target"], "left")
-        at_root = climbed.where("parent is null").select("id", "directory_id", "path")
-        done = at_root if done is None else done.unionByName(at_root)
-        slash = F.lit("/") if dict(now.dtypes)["path"] == "string" else F.lit(bytearray(b"/"))
-        now = climbed.where("parent is not null").select("id", F.col("parent").alias("directory_id"), F.concat("step", slash, "path").alias("path"))
-        if now.isEmpty():
-            break
-    return done
+        climbed, _ = cut(now.join(up, now["directory_id"] == up["target"], "left").select("id", "directory_id", "path", "parent", "step"), "climb")
+        done.append(climbed.where("parent is null").select("id", "directory_id", "path"))
+        rising = climbed.where("parent is not null")
+        if rising.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        now = rising.select("id", F.col("parent").alias("directory_id"), F.concat("step", slash, "path").alias("path"))
+    raise RecursionError(f"directories nest deeper than {max_depth}")

@@ -233,3 +233,11 @@ def test_counts_are_observed_without_a_job(spark):
     df, seen = lifecycle.observed(spark.range(7), "added", "id")
     df.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 7, "bytes": 21}
+
+
+def test_content_find_directory_raises_where_roots_are_too_far(spark):
+    entries = spark.createDataFrame([(f"d{i}", f"n{i}", "dir", f"d{i + 1}", 0) for i in range(4)] + [("d4", "f", "file", "c", 0)], ENTRY)
+    ids = spark.createDataFrame([("c",)], "id string")
+    assert [tuple(r) for r in content.content_find_directory(ids, entries, max_depth=5).collect()] == [("c", "d0", "n0/n1/n2/n3/f")]
+    with pytest.raises(RecursionError):
+        content.content_find_directory(ids, entries, max_depth=4)
