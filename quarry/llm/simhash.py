@@ -269,34 +269,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component of near copies: one row each.
-
-    That is the row with the component's smallest id; of rows repeated under that id, any one. Where all ids of a
-    component are null, one of its rows stays (null ids come after all others, then the smaller fingerprint).
-    """
-    found = near_duplicates(docs, id_col, text_col, bits)
-    named = found.where(F.col("component_id").isNotNull())
-    ids = named.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(ids, id_col, "left_semi").dropDuplicates([id_col])
-    without = docs.where(F.col(id_col).isNull())
-    lost = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    if lost.isEmpty():
-        return kept
-    # rows without an id and without a neighbour that has one: few, if any; they are fingerprinted once more
-    schema, at = without.schema, without.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "fp__"])
-
-    edges = near_pairs(lost, bits)
-    nodes = connected_components(edges)
-    heads = lost.join(nodes.where("node <> component"), lost["fp"] == nodes["node"], "left_anti")
-    marked = without.mapInArrow(mark, f"{fields}, fp__ long")
-    rest = marked.join(heads.withColumnRenamed("fp", "fp__"), "fp__", "left_semi").dropDuplicates(["fp__"]).drop("fp__")
-    return kept.unionByName(rest)
