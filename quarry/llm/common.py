@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +27,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of this machine is made and set.
+    Only where that is unset and all runs on this machine, as in local tests, a folder of it is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
 def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -45,12 +57,40 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what ``materialised`` wrote inside it, but for the paths taken off the list it gives.
+
+    For results that were written or counted inside; a DataFrame that still reads one of the folders must keep it.
+    """
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+        for path in made:
+            discard(spark, path)
+
+
+def slices(batch: pa.RecordBatch, at: int, size: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts of at most ``rows`` rows and about ``size`` bytes of the text in column ``at``."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)) if batch.num_rows else np.zeros(0, np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+        stop = min(max(stop, start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``edges(a long, b long)`` -> ``(node long, component long)``.
 
     The component's name is its smallest node. Nodes without edges are not returned; loops and repeated edges
     do no harm. Alternates the large-star and small-star steps, each two shuffles of at most one row per edge,
-    until the edge set stays as it is; the number of rounds grows with the logarithm of the longest chain.
+    until the edge set stays as it is, which it always comes to; the number of rounds grows with the logarithm of the
+    longest chain.
     """
     spark = edges.sparkSession
 
@@ -60,7 +100,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, path = materialised(now, "edges")
     mark = state(now)
-    for _ in range(max_rounds if mark[0] else 0):
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -76,9 +116,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    else:
-        if mark[0]:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +12,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+#: Phrases a symbol above which no sample explains a text: its longest matches are shorter than 1.7 symbols on average.
+MOST_PHRASES = 0.6
 #: Symbols of the automata: 0 is anything but a letter, 1 a letter that no sample has, the rest the samples' letters.
 _SPACE, _STRANGE = 0, 1
+_LOW = np.int64(0xFFFFFFFF)
 
 
 class SuffixAutomaton:
-    """All substrings of one symbol string, as a dense table of moves: ``moves[state * symbols + symbol]``, -1 for none."""
+    """All substrings of one symbol string, its moves in one array.
+
+    A state is named by a place, so that its move by a symbol, if it has one, is at ``table[state + symbol]``, which holds
+    the state's own name (high half) and the next state's. States share the array wherever their moves leave room, so it is
+    about as long as there are moves, whatever the alphabet. The root is 0; ``first[symbol]`` is the root's move or -1.
+    """
 
     def __init__(self, symbols: list[int], size: int):
+        moves = self._moves(symbols)
+        place, taken, used = [0] * len(moves), bytearray(4 * len(moves) + 2 * size), bytearray(4 * len(moves) + 2 * size)
+        near, cursor = 0, {}
+        for state in [0, *sorted(range(1, len(moves)), key=lambda k: -len(moves[k]))]:
+            own = sorted(moves[state])
+            # what is full stays full: states of one move by one symbol go on from the last of them, others from a little before
+            key = own[0] if len(own) == 1 else None
+            at = cursor.get(key, 1) if len(own) < 2 and state else max(int(state > 0), near - size)
+            while used[at] or any(taken[at + s] for s in own):
+                at += 1
+                if at + size >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                    used.extend(bytes(len(used)))
+            place[state], used[at] = at, 1
+            for s in own:
+                taken[at + s] = 1
+            if len(own) < 2:
+                cursor[key] = at
+            else:
+                near = at
+        self.table = np.full(max(place) + size + 1, -1, np.int64)
+        for state, to in enumerate(moves):
+            for s, target in to.items():
+                self.table[place[state] + s] = place[state] << 32 | place[target]
+        self.first = np.full(size, -1, np.int64)
+        for s, target in moves[0].items():
+            self.first[s] = place[target]
+
+    @staticmethod
+    def _moves(symbols: list[int]) -> list[dict[int, int]]:
         link, length, moves = [-1], [0], [{}]
         last = 0
         for s in symbols:
@@ -45,49 +85,64 @@ class SuffixAutomaton:
                         moves[p][s] = copy
                         p = link[p]
             last = now
-        self.moves = np.full(len(moves) * size, -1, np.int32)
-        for state, to in enumerate(moves):
-            for s, target in to.items():
-                self.moves[state * size + s] = target
+        return moves
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and how many phrases end: where a match can't grow, and at a symbol that the sample lacks."""
+        entry = self.table[state + symbol]
+        stop = (entry >> 32) != state
+        fresh = np.where(stop, self.first[symbol], entry & _LOW)
+        ended = (stop & (state > 0)).view(np.int8) + (fresh < 0).view(np.int8)
+        return np.maximum(fresh, 0), ended
 
 
 class CrossParser:
     """Phrases that a text needs in each language: longest matches in that language's sample, one after another.
 
     ``samples``: language -> sample text. Letters are lower-cased; every run of other characters is one space.
-    A phrase is the longest match of the sample from where the last one ended (one symbol at least). Texts are
-    parsed in blocks of ``block`` symbols, so that a batch of texts is parsed in step; no symbol is left out, and
-    a block's end only ends a phrase.
+    A phrase is the longest match of the sample from where the last one ended (one symbol at least).
+
+    Texts of any length are parsed in step: each is cut every ``block`` symbols and all blocks are first parsed from their
+    starts. Then what was open at a block's end is carried into the next block until that parse and the first one are in the
+    same state; from there on they agree. This is repeated for blocks whose beginning changed, so the phrases are those of
+    one parse of the whole text.
     """
 
     def __init__(self, samples: dict[str, str], block: int = 512):
         self.langs, self.block = sorted(samples), block
         clean = {k: samples[k].lower() for k in self.langs}
-        letters = sorted({c for t in clean.values() for c in t if c.isalpha()})[:65_000]
-        self.size = len(letters) + 2
-        self.codes = np.zeros(0x110000, np.uint16)
+        self.letters = "".join(sorted({c for t in clean.values() for c in t if c.isalpha()}))
+        parts = [self.symbols([clean[k]])[0].tolist() for k in self.langs]
+        self.automata = [SuffixAutomaton(p, len(self.letters) + 2) for p in parts]
+        #: What a phrase costs: the bits that tell a place in the sample.
+        self.bits = np.array([math.log2(max(2, len(p))) for p in parts])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "codes"}
+
+    @functools.cached_property
+    def codes(self) -> np.ndarray:
         every = np.arange(0x110000, dtype="<u4")
         every[0xD800:0xE000] = 0
         alphabetic = np.fromiter(map(str.isalpha, every.tobytes().decode("utf-32-le")), bool, 0x110000)
-        self.codes[alphabetic] = _STRANGE
-        for i, c in enumerate(letters):
-            self.codes[ord(c)] = i + 2
-        self.automata = [SuffixAutomaton(self.symbols([clean[k]])[0].tolist(), self.size) for k in self.langs]
+        codes = np.where(alphabetic, _STRANGE, _SPACE).astype(np.int32)
+        codes[[ord(c) for c in self.letters]] = np.arange(len(self.letters)) + 2
+        return codes
 
     def symbols(self, lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' symbols, one text after another, and the number of symbols of each text."""
         raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in lowered]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         if not sizes.sum():
-            return np.zeros(0, np.uint16), sizes
+            return np.zeros(0, np.int32), sizes
         flat = self.codes[np.concatenate(raw)]
         owner = np.repeat(np.arange(len(raw)), sizes)
         keep = np.ones(len(flat), bool)
         keep[1:] = (flat[1:] != _SPACE) | (flat[:-1] != _SPACE) | (owner[1:] != owner[:-1])
         return flat[keep], np.bincount(owner[keep], minlength=len(raw))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and each text's letters."""
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases by text and language, each text's letters, and each text's symbols."""
         flat, sizes = self.symbols([t.lower() for t in texts])
         owner = np.repeat(np.arange(len(texts)), sizes)
         letters = np.bincount(owner[flat != _SPACE], minlength=len(texts))
@@ -95,57 +150,88 @@ class CrossParser:
         blocks = -(-sizes // self.block)
         of = np.repeat(np.arange(len(texts)), blocks)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = (np.cumsum(sizes) - sizes)[of] + nth * self.block
         length = np.minimum(self.block, sizes[of] - nth * self.block)
         order = np.argsort(-length, kind="stable")
-        of, start, length = of[order], start[order], length[order]
-        alive = np.searchsorted(-length, -np.arange(self.block), "left")
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        of, nth, length = of[order], nth[order], length[order]
+        start = (np.cumsum(sizes) - sizes)[of] + nth * self.block
+        after = np.where(np.append(nth[place][1:], 0) > 0, np.append(place[1:], 0), -1)[order] if len(of) else place
         for k, own in enumerate(self.automata):
-            state, met = np.zeros(len(of), np.int32), np.zeros(len(of), np.int32)
-            for t in range(self.block):
-                n = int(alive[t])
-                if not n:
+            met, end = self._parsed(own, flat, start, length, after)
+            counts[:, k] = np.bincount(of, met + ((after < 0) & (end > 0)), minlength=len(texts)).astype(np.int64)
+        return counts, letters, sizes
+
+    def _parsed(self, own: SuffixAutomaton, flat: np.ndarray, start: np.ndarray, length: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block, and the state at its end. Blocks come longest first; ``after``: the next of the text, or -1."""
+        n = len(start)
+        steps = int(length[0]) if n else 0
+        alive = np.searchsorted(-length, -np.arange(steps), "left")
+        states, ends = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.uint16 if steps < 1 << 14 else np.int64)
+        state, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for t in range(steps):
+            m = int(alive[t])
+            state[:m], ended = own.step(state[:m], flat[start[:m] + t])
+            met[:m] += ended
+            states[t, :m], ends[t, :m] = state[:m], met[:m]
+        total, last, entry = met.copy(), state.copy(), np.zeros(n, np.int64)
+        todo = np.flatnonzero((after >= 0) & (last > 0))
+        while len(todo):
+            into, carried = after[todo], last[todo]
+            differs = carried != entry[into]
+            into, now = into[differs], carried[differs]
+            entry[into] = now
+            here, count = into, np.zeros(len(into), np.int64)
+            for t in range(steps):
+                if not len(here):
                     break
-                s = flat[start[:n] + t]
-                to = own.moves[state[:n].astype(np.int64) * self.size + s]
-                stop = to < 0
-                fresh = np.where(stop, own.moves[s], to)
-                met[:n] += (stop & (state[:n] > 0)).view(np.int8) + (fresh < 0).view(np.int8)
-                state[:n] = np.maximum(fresh, 0)
-            # an open phrase ends where it can't grow, and at the block's end; a symbol that the sample lacks is
-            # a phrase by itself and leaves the parse at the root
-            counts[:, k] = np.bincount(of, met + (state > 0), minlength=len(texts)).astype(np.int64)
-        return counts, letters
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: the lead of the fewest phrases over the next fewest, 0 to 1."""
-        counts, letters = self.phrases([t or "" for t in texts])
+                now, ended = own.step(now, flat[start[here] + t])
+                count = count + ended
+                same, over = now == states[t, here], length[here] == t + 1
+                met[here[same]] = count[same] + total[here[same]] - ends[t, here[same]]
+                last[here[same]] = state[here[same]]
+                over &= ~same
+                met[here[over]], last[here[over]] = count[over], now[over]
+                on = ~(same | over)
+                here, now, count = here[on], now[on], count[on]
+            todo = into[(after[into] >= 0) & (last[into] != entry[after[into]])] if len(into) else into
+        return met, last
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and how many phrases a symbol it takes in that language.
+
+        Phrases are normalised by what a phrase costs in a sample of that length; the score, 0 to 1, is the lead of the
+        cheapest language over the next.
+        """
+        counts, letters, sizes = self.phrases([t or "" for t in texts])
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        best = counts.argmin(axis=1)
-        ranked = np.sort(counts, axis=1)
-        least, following = ranked[:, 0], ranked[:, 1] if len(self.langs) > 1 else np.maximum(letters, ranked[:, 0])
-        score = np.where(letters > 0, 1 - least / np.maximum(following, 1), 0.0)
-        return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)], np.clip(score, 0, 1)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        cost = counts * self.bits
+        best, ranked = cost.argmin(axis=1), np.sort(cost, axis=1)
+        least, following = ranked[:, 0], ranked[:, 1] if len(self.langs) > 1 else np.maximum(sizes * self.bits[0], ranked[:, 0])
+        score = np.where(letters > 0, 1 - least / np.maximum(following, 1e-9), 0.0)
+        return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)], np.clip(score, 0, 1), counts[np.arange(len(texts)), best] / np.maximum(sizes, 1)
 
 
-def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, languages: int = 1000) -> dict[str, str]:
+def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, languages: int = 200) -> dict[str, str]:
     """Bounded samples of ``labelled(id, text, lang)``: language -> ``chars`` characters at most, from at most ``rows`` distinct texts.
 
-    Texts come in the order of a seeded hash, copies once. Each gives one passage of ``4 * chars / rows`` characters that
-    starts anywhere in the whole text, by the same hash; a shorter text is taken whole. So the sample is full after
-    ``rows / 4`` long texts. At most ``languages`` labels are learnt (an error otherwise); what reaches the driver is
-    bounded by these three parameters.
+    Texts come in the order of a seeded hash, copies once. Of n texts of a language each gives one passage of ``4 * chars / n``
+    characters that starts anywhere in the whole text, by the same hash; a shorter text is taken whole. The ``languages``
+    labels with most rows are learnt (ties by name). What reaches the driver is bounded by these three parameters.
     """
-    good = labelled.where("text is not null and lang is not null")
-    if good.select("lang").distinct().limit(languages + 1).count() > languages:
-        raise ValueError(f"more than {languages} languages")
-    share = -(-chars * 4 // rows)
-    good = good.withColumn("key", F.xxhash64("text", F.lit(17)))
+    good = labelled.where("lang is not null")
+    often = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    good = good.where(F.col("text").isNotNull() & F.col("lang").isin([r["lang"] for r in often])).withColumn("key", F.xxhash64("text", F.lit(17)))
+    # the least keys of every few partitions, then of those: no task sorts a language's keys alone
+    some = Window.partitionBy("lang", "part").orderBy("key")
     order = Window.partitionBy("lang").orderBy("key")
-    keys = good.select("lang", "key").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    start = F.pmod(F.xxhash64("key", F.lit(29)), F.greatest(F.length("text") - share + 1, F.lit(1))) + 1
-    passage = F.substring("text", start.cast("int"), F.lit(share))
+    keys = good.select("lang", "key").distinct().withColumn("part", F.spark_partition_id() % 512)
+    keys = keys.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= rows)
+    keys = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "key", "rank")
+    keys = keys.withColumn("share", F.ceil(4 * chars / F.max("rank").over(Window.partitionBy("lang"))).cast("int"))
+    start = F.pmod(F.xxhash64("key", F.lit(29)), F.greatest(F.length("text") - F.col("share") + 1, F.lit(1))) + 1
+    passage = F.substring("text", start.cast("int"), F.col("share"))
     # every copy of a text gives the same passage
     cut = good.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "rank").agg(F.first(passage).alias("text"))
     out: dict[str, str] = {}
@@ -155,8 +241,8 @@ def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, lang
     return out
 
 
-def _predicted(parser: CrossParser, texts: list[str | None], batch_chars: int) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
-    """(first, past the last, languages, scores) of runs of texts with about ``batch_chars`` characters."""
+def _predicted(parser: CrossParser, texts: list[str | None], batch_chars: int) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first, past the last, languages, scores, phrases a symbol) of runs of texts with about ``batch_chars`` characters."""
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -172,17 +258,17 @@ def identify_languages(
 ) -> DataFrame:
     """``(id_col, lang_pred string, score double)``, one row per row of ``docs``, from its text alone.
 
-    The language whose sample needs the fewest phrases wins, the first in alphabetical order on a tie (score 0).
-    Phrases are normalised by the text's length, which is the same for every language, so counts decide; ``score``
-    is how much fewer phrases the winner takes than the runner-up, as a share. A null text or one without letters
-    is ``und`` with score 0, and so is every text where nothing was learnt. Rows keep their partitions; repeated
-    rows give repeated rows; other columns are ignored.
+    The language whose sample tells the text in the fewest bits (phrases, each at the logarithm of the sample's length) wins,
+    the first in alphabetical order on a tie (score 0). ``score`` is how much fewer bits the winner takes than the
+    runner-up, as a share. A null text or one without letters is ``und`` with score 0, and so is every text where
+    nothing was learnt. Texts are parsed whole, whatever their length. Rows keep their partitions; repeated rows give
+    repeated rows; other columns are ignored.
     """
+    parser = CrossParser(samples)
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(samples)
         for batch in batches:
-            for start, stop, langs, score in _predicted(parser, batch.column(1).to_pylist(), batch_chars):
+            for start, stop, langs, score, _ in _predicted(parser, batch.column(1).to_pylist(), batch_chars):
                 ids = batch.column(0).slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -201,18 +287,26 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return sample_texts(labelled, **bounds)
 
 
-def drop_undetermined(docs: DataFrame, samples: dict[str, str], text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
-    """The rows of ``docs`` whose text gets a language, with all their columns, in their partitions.
+def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang_col: str = "lang", most_phrases: float = MOST_PHRASES, batch_chars: int = 1 << 21) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learnt language, with all their columns, in their partitions.
 
-    ``und`` rows go: null texts and texts without letters, and all rows where nothing was learnt.
+    ``lang_col``, where there is such a column, becomes the language that the parse finds. Rows go whose text is null or
+    has no letters, or takes more than ``most_phrases`` a symbol in the language that suits it best, as other scripts and
+    strings of unrelated letters do; and all rows where nothing was learnt.
     """
+    parser = CrossParser(samples)
     schema, at = docs.schema, docs.columns.index(text_col)
+    lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(samples)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            langs = [lang for _, _, found, _ in _predicted(parser, texts, batch_chars) for lang in found]
-            yield batch.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+            found = list(_predicted(parser, batch.column(at).to_pylist(), batch_chars))
+            langs = [lang for _, _, part, *_ in found for lang in part]
+            phrases = np.concatenate([b for *_, b in found]) if found else np.zeros(0)
+            columns = list(batch.columns)
+            if lang_at is not None:
+                columns[lang_at] = pa.array(langs, batch.schema.field(lang_at).type)
+            good = np.fromiter((lang != UNDETERMINED for lang in langs), bool, len(langs)) & (phrases <= most_phrases)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
 
     return docs.mapInArrow(keep, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import slices
+
 SEQUENCE_TOKENS = 2048
 #: Segments that one sequence of documents holds at most.
 SEQUENCE_SEGMENTS = 256
@@ -63,35 +65,40 @@ class Packer:
 
 
 def pack_examples(df: DataFrame, demands: Sequence[str], limits: Sequence[int], pool: int = 768) -> DataFrame:
-    """``df`` with ``sequence_id long`` and ``position int``: examples packed whole under all limits at once.
+    """``df`` with ``sequence_id long``, ``position int`` and ``oversize boolean``: examples packed whole under all limits at once.
 
-    ``demands`` names integer columns, such as tokens, segments and loss-bearing tokens; null counts as 0; an
-    example beyond a limit is an error. Every partition packs its own rows in one pass, so nothing is shuffled
-    and at most one part-filled pool per partition is left over. Input columns with the new names are replaced.
+    ``demands`` names integer columns, such as tokens, segments and loss-bearing tokens; null counts as 0. An example
+    beyond a limit fits nowhere: it gets a sequence of its own and ``oversize`` is true, for the caller to cut or drop.
+    Every partition packs its own rows in one pass, so nothing is shuffled and at most one part-filled pool per partition
+    is left over. Repeated rows are packed each for itself; an empty table gives none. Input columns with the new names are
+    replaced.
     """
-    rows = df.select([c for c in df.columns if c.lower() not in ("sequence_id", "position")])
+    rows = df.select([c for c in df.columns if c.lower() not in ("sequence_id", "position", "oversize")])
     names = rows.columns
     at = [names.index(d) for d in demands]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, number, first = Packer(limits, pool), 0, TaskContext.get().partitionId() << 33
 
-        def out(bins: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        def out(bins: Iterable[list], oversize: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal number
             for taken in bins:
                 ids = pa.array([first + number] * len(taken), pa.int64())
                 columns = [pa.concat_arrays([row.column(c) for row in taken]) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(range(len(taken)), pa.int32())], names=[*names, "sequence_id", "position"])
+                columns += [ids, pa.array(range(len(taken)), pa.int32()), pa.array([oversize] * len(taken))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "position", "oversize"])
                 number += 1
 
         for batch in batches:
             sizes = np.stack([np.array(batch.column(c).fill_null(0), np.float64) for c in at], axis=1)
-            yield from out(packer.add(sizes, [batch.slice(i, 1) for i in range(batch.num_rows)]))
+            over = (sizes > packer.limits).any(axis=1)
+            yield from out(([batch.slice(i, 1)] for i in np.flatnonzero(over).tolist()), True)
+            yield from out(packer.add(sizes[~over], [batch.slice(i, 1) for i in np.flatnonzero(~over).tolist()]))
         yield from out(packer.flush())
 
     kinds = {f.name: f.dataType for f in rows.schema}
     fields = [f"`{n}` {kinds[n].simpleString()}" for n in names]
-    return rows.mapInArrow(pack, ", ".join([*fields, "sequence_id long", "position int"]))
+    return rows.mapInArrow(pack, ", ".join([*fields, "sequence_id long, position int, oversize boolean"]))
 
 
 #: Bytes of UTF-8 with A-Z lower-cased and every ASCII white space a space.
@@ -225,8 +232,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
+            for part in slices(batch, 1, 8 << 20):
                 flat, counts = own.encode(part.column(1).cast(pa.large_string()))
                 raw, stop = flat.astype("<u4").tobytes(), np.cumsum(counts)
                 full, rest = [], []
