@@ -19,7 +19,7 @@ BUCKETS = 1 << 15
 
 def features(hasher: WordHasher, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every word and every pair of neighbouring words of whole texts."""
-    flat, counts = hasher.hashes(texts)
+    flat, counts, *_ = hasher.hashes([t.lower() for t in texts])
     owner = np.repeat(np.arange(len(texts)), counts)
     pairs = shingle_hashes(flat, 2)
     inside = owner[1:] == owner[:-1]
@@ -100,7 +100,8 @@ def gumbel_top_k(weighed: DataFrame, share: float, id_col: str = "doc_id") -> Da
     """
     parts = int(weighed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = weighed.columns
-    order = [F.desc("key"), F.col(id_col), F.col("features")]
+    # rows equal in all these, however many, are told apart by their places in the table that was written
+    order = [F.desc("key"), F.col(id_col), F.col("features"), F.monotonically_increasing_id()]
     dealt = weighed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, with candidates from banded MinHash."""
+"""Near copies by exact Jaccard similarity of word shingles: SimHash's anchors, and banded MinHash where they don't reach.
+
+Fingerprints of 5-word shingles are compared by ``simhash.near_pairs``. Two texts of similarity 0.8 differ in up to 11 of 64
+bits, and no covering code deals fingerprints to all anchors that far away, so signatures of MinHash bring further
+candidates. Every link is verified on the sets of shingles.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import connected_components, materialised
+from quarry.llm.simhash import majority, near_pairs
 
 SEED, WIDTH, SIMILARITY = 42, 5, 0.8
 #: Texts of similarity 0.8 share no band with probability (1 - 0.8**ROWS)**BANDS, 3 in 100,000; more alike, less.
@@ -51,23 +57,28 @@ def signatures(own: np.ndarray, block: int = 2048) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
 
 
+def fingerprint(own: np.ndarray, block: int = 1 << 16) -> int:
+    """The SimHash of a set of shingles as a signed long."""
+    return int(np.uint64(majority((own[k : k + block] for k in range(0, len(own), block)), len(own))).view(np.int64))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, class, n, sigs)`` of every row: its set of shingles by name, the set's size, and its signatures."""
+    """``(id, class, n, fp, sigs)`` of every row: its set of shingles by name, the set's size, fingerprint and signatures."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
-            sigs = pa.array([signatures(s).tolist() for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, sigs], names=["id", "class", "n", "sigs"])
+            columns += [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signatures(s).tolist() for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "class", "n", "fp", "sigs"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(of, "id long, class long, n int, sigs array<long>")
+    return narrow.mapInArrow(of, "id long, class long, n int, fp long, sigs array<long>")
 
 
 def _with_class(docs: DataFrame, text_col: str, name: str = "class__") -> DataFrame:
@@ -188,17 +199,26 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float, most: int, m
 def components(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, most: int = 1024, most_shingles: int = 1 << 20) -> DataFrame:
     """``(node, component)`` of all classes that are linked to another one.
 
-    First every text is compared with the least one of each of its signatures, which joins groups of true copies at the
-    cost of a row each; then whatever still has a signature in common but no component is compared, all with all.
+    First the texts whose fingerprints anchors bring together are compared, and every text with the least one of its
+    fingerprint and of each of its signatures, which joins groups of true copies at the cost of a row each; then whatever
+    still has a signature in common but no component is compared, all with all.
     """
-    classes, _ = materialised(marks.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "classes")
+    classes = marks.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sigs").alias("sigs"))
+    classes, _ = materialised(classes, "classes")
+    by_fp, _ = materialised(classes.groupBy("fp").agg(F.count("*").alias("m"), F.min(F.struct("class", "n")).alias("lead")), "fingerprints")
+    alike = classes.join(by_fp.where("m > 1"), "fp").where("class <> lead.class").select(F.struct("class", "n").alias("x"), F.col("lead").alias("y"))
+    a, b = by_fp.select(F.col("fp").alias("a"), F.col("lead").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    alike = alike.unionByName(near_pairs(by_fp.select("fp")).join(a, "a").join(b, "b").select("x", "y"))
+    alike = alike.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+    alike, _ = materialised(alike.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), "alike")
     dealt = classes.select(F.explode("sigs").alias("sig"), "class", "n").distinct()
     leads = dealt.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("class", "n")).alias("lead")).where("m > 1").select("sig", "lead")
     shared, _ = materialised(dealt.join(leads, "sig"), "shared")
-    wanted = shared.select("class").distinct().join(classes.select("class", "id"), "class")
+    wanted = shared.select("class").union(alike.select("a")).union(alike.select("b")).distinct().join(classes.select("class", "id"), "class")
     sets, _ = materialised(_sets(docs, wanted, id_col, text_col), "sets")
     pairs = shared.where("class <> lead.class").where(F.least("n", "lead.n") >= similarity * F.greatest("n", "lead.n") - 1e-9)
-    found, _ = materialised(_verified(pairs.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).distinct(), sets, similarity), "links")
+    pairs = pairs.select(F.col("lead.class").alias("a"), F.col("class").alias("b")).unionByName(alike).distinct()
+    found, _ = materialised(_verified(pairs, sets, similarity), "links")
     nodes, _ = materialised(connected_components(found), "nodes")
     members = shared.join(nodes, shared["class"] == nodes["node"], "left").select("sig", "class", "n", F.coalesce("component", "class").alias("component"))
     more, _ = materialised(_across(members, sets, similarity, most, most_shingles), "links")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialised
+
 
 def row_bytes(text: str) -> F.Column:
     """UTF-8 bytes of a text (none if null) and eight for the row itself."""
@@ -29,17 +31,30 @@ def shuffle_into_shards(
     input, seed and number of shuffle partitions give the same order, also when tasks run again.
 
     Nulls, empty and repeated rows are rows like others (equal rows may trade places); copies with different ids
-    scatter. An empty table gives none. Input columns named ``shard`` or ``slot`` are replaced.
+    scatter, and where one id and text together repeat so often that they fill a bucket, each repeat is scattered by its
+    number: such rows are counted first, so the shuffle gets one of them per task. An empty table gives none. Input
+    columns named ``shard`` or ``slot`` are replaced.
     """
     rows = df.select([c for c in df.columns if c.lower() not in ("shard", "slot")])
     names = rows.columns
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.agg(F.sum(row_bytes(text_col))).first()[0] or 0
-    buckets = max(parts, -(-total // bucket_bytes))
+    key = F.xxhash64(F.lit(seed), id_col, text_col).alias("key")
+    # one short row for each id and text: what follows up to pass two reads these and not the texts
+    keys, _ = materialised(rows.select(key, row_bytes(text_col).alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("size")), "keys")
+    total, hottest = keys.agg(F.sum(F.col("n") * F.col("size")), F.max(F.when(F.col("n") > 1, F.col("n") * F.col("size")))).first()
+    buckets = max(parts, -(-(total or 0) // bucket_bytes))
 
-    scattered = rows.select(F.struct(*names).alias("row"), F.xxhash64(F.lit(seed), id_col, text_col).alias("key"))
+    scattered = rows.select(F.struct(*names).alias("row"), key)
+    if (hottest or 0) > bucket_bytes:
+        hot = keys.where((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes)).select("key")
+        again = scattered.join(hot, "key", "left_semi").groupBy("row", "key").agg(F.count("*").alias("n"))
+        again, _ = materialised(again.select("row", F.xxhash64("key", "row").alias("key"), "n"), "repeats")
+        each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+        apart = lambda df, *more: df.withColumn("nth", each).select(*more, F.xxhash64("key", "nth").alias("key"))
+        scattered = scattered.join(hot, "key", "left_anti").select("row", "key").unionByName(apart(again, "row"))
+        keys = keys.join(hot, "key", "left_anti").select("key", "n").unionByName(apart(again).withColumn("n", F.lit(1).cast("long")))
     scattered = scattered.withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
+    counts = keys.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # one row per bucket: a few million for 100 TB

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once: bounds the memory that one very long text takes.
 _BLOCK = 1 << 16
+#: Fingerprints at home with one anchor that a task holds at most.
+_HOMES = 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -36,13 +38,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
     stops = ends[width - 1 :].tolist()
-    digest, seed, votes = xxhash.xxh64_intdigest, SEED, np.zeros(64, np.int64)
-    for k in range(0, len(starts), _BLOCK):
-        part = [digest(whole[a:b], seed) for a, b in zip(starts[k : k + _BLOCK], stops[k : k + _BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int32)
-    on = votes * 2 > len(starts)
-    return int(np.packbits(on, bitorder="little").view("<u8")[0])
+    digest, seed = xxhash.xxh64_intdigest, SEED
+    return majority(
+        (np.array([digest(whole[a:b], seed) for a, b in zip(starts[k : k + _BLOCK], stops[k : k + _BLOCK], strict=True)], "<u8") for k in range(0, len(starts), _BLOCK)),
+        len(starts),
+    )
+
+
+def majority(blocks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of ``n`` 64-bit hashes have, which come in blocks."""
+    votes = np.zeros(64, np.int64)
+    for block in blocks:
+        votes += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,14 +147,17 @@ def _forest(homes: np.ndarray, rows: np.ndarray, parent: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
 
 
-def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int, most: int = 1 << 20) -> tuple:
+def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int, seen: int = 0, most: int = 1 << 20) -> tuple:
     """Edges that span, in every anchor's group, what is within ``bits`` of a fingerprint at home there.
 
-    Rows are sorted by anchor. At most one edge per row comes out, however dense a group is.
+    Rows are sorted by anchor. At most one edge per row comes out, however dense a group is. The first ``seen`` rows, all
+    of the first group, have met each other before.
     """
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.append(first, len(anchor)))
     group = np.repeat(np.arange(len(first)), size)
+    first[0] += seen
+    size[0] -= seen
     at = np.flatnonzero(home)
     work = np.cumsum(size[group[at]])
     parent = np.arange(len(anchor))
@@ -174,16 +185,17 @@ def near_pairs(fps: DataFrame, bits: int = 2, hot: int = 4096, code: int | None
 
     ``fps(fp long)`` holds distinct values. Each is dealt to its home anchor and to the anchors around it; a
     group of one anchor compares those at home with all that came. An anchor that is home to more than ``hot``
-    fingerprints (or to a ten-thousandth of all, whichever is more, so that at most 10,000 anchors are hot) is
-    cut into chunks of its homes, each of which meets all of the anchor's replicas; a task holds the homes of
-    one chunk and streams the replicas past them. Not every pair is returned, but as many as span each group.
+    fingerprints (or to a ten-thousandth of all, if that is more, up to ``_HOMES``) is cut into chunks of its homes, each
+    of which meets all of the anchor's replicas; a task holds the homes of one chunk and streams the replicas past
+    them. So at most 10,000 anchors are hot, or one in ``_HOMES`` fingerprints where there are over 2.6 billion, and their
+    names and chunks (16 bytes each) go to the tasks. Not every pair is returned, but as many as span each group.
     """
     if bits > 2:
         raise ValueError("the anchors around a fingerprint cover two differing bits")
     spark = fps.sparkSession
     total = fps.count()
     n = code or choose_code(total)
-    hot = max(hot, -(-total // 10_000))
+    hot = max(hot, min(_HOMES, -(-total // 10_000)))
 
     def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = CoveringCode(n)
@@ -191,7 +203,7 @@ def near_pairs(fps: DataFrame, bits: int = 2, hot: int = 4096, code: int | None
             yield pd.DataFrame({"anchor": own.home(frame["fp"].to_numpy().view(np.uint64))})
 
     crowded = fps.mapInPandas(homes, "anchor long").groupBy("anchor").count().where(F.col("count") > hot)
-    chunks = {r[0]: -(-r[1] // hot) for r in crowded.collect()}  # at most 10,000 rows, by the choice of hot
+    chunks = {r[0]: -(-r[1] // hot) for r in crowded.collect()}
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = CoveringCode(n)
@@ -217,7 +229,7 @@ def near_pairs(fps: DataFrame, bits: int = 2, hot: int = 4096, code: int | None
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
-        last = None
+        last, seen = None, 0
         for frame in frames:
             if frame.empty:
                 continue
@@ -233,18 +245,20 @@ def near_pairs(fps: DataFrame, bits: int = 2, hot: int = 4096, code: int | None
             )
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                a, b = _links(*(x[:cut] for x in held), bits)
-                held = tuple(x[cut:] for x in held)
+                a, b = _links(*(x[:cut] for x in held), bits, seen)
+                held, seen = tuple(x[cut:] for x in held), 0
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
             if len(held[0]) > 1 << 20:  # one group alone: its homes stay, what streamed past them is done with
-                a, b = _links(*held, bits)
+                a, b = _links(*held, bits, seen)
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
                 held = tuple(x[held[2]] for x in held)
+                seen = len(held[0])
         if len(held[0]):
-            a, b = _links(*held, bits)
+            a, b = _links(*held, bits, seen)
             yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # some 40 replicas a fingerprint, and 4 million rows to a task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 100_000)
     dealt = fps.mapInPandas(deal, "anchor long, chunk int, fp long, home boolean")
     grouped = dealt.repartition(parts, "anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.desc("home"))
     return grouped.mapInPandas(compare, "a long, b long").distinct()

@@ -116,18 +116,23 @@ class BundleReader:
         return zstandard.ZstdDecompressor().decompress(self.source.read(packed), max_output_size=max(1, self.sizes[k]))
 
 
-def with_roles(pages: DataFrame, salts: int = 64) -> DataFrame:
+def with_roles(pages: DataFrame, hot: int = 100_000) -> DataFrame:
     """``(page_id, url, html, digest, refers_to)``: of rows with equal payloads of 100 bytes or more, who refers to whom.
 
     The smallest id of such a group is referred to by the others (null ids too); rows that share it, or whose group
-    has no id, are responses. Only payloads that repeat are joined back, dealt over ``salts`` parts each, so that a
-    payload of a third of all rows is spread; one row per distinct payload and task goes to the grouping.
+    has no id, are responses. One row per distinct payload and task goes to the grouping. The group's id is joined back;
+    a payload of more than ``hot`` rows (or a 20,000th of all, so at most 20,000 payloads are hot and can be broadcast)
+    is dealt over as many parts as it has times that many rows.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     large = rows.where(F.octet_length("html") >= SMALLEST_REVISITED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = large.where("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = salted.join(first, ["digest", "salt"], "left")
+    repeated, _ = materialised(large.where("n > 1"), "repeated")
+    hot = max(hot, (repeated.agg(F.sum("n")).first()[0] or 0) // 20_000)
+    split = repeated.where(F.col("n") > hot).select("digest", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    first = repeated.join(F.broadcast(split), "digest", "left").select("digest", "first", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    salted = rows.join(F.broadcast(split), "digest", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts).cast("int"))
+    joined = salted.drop("parts").join(first, ["digest", "part"], "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).cast("long")
     return joined.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -177,6 +182,8 @@ def write_bundles(pages: DataFrame, path: str | None = None, frame_bytes: int =
 
 def _reader(cache: dict, file: str) -> BundleReader:
     if file not in cache:
+        for reader in cache.values():
+            reader.source.close()
         cache.clear()
         where, path = _open(file)
         cache[file] = BundleReader(where.open_input_file(path))

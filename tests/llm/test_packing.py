@@ -90,3 +90,11 @@ def test_documents_come_back_whole_from_their_pieces(spark, plain):
             at += length
         assert at <= 2048
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_over_long_examples_get_a_sequence_of_their_own(spark):
+    df = spark.createDataFrame([(i, 500 if i % 10 == 0 else 30) for i in range(50)], "id long, tokens int")
+    got = packing.pack_examples(df, ["tokens"], [100]).collect()
+    assert sorted(r.id for r in got) == list(range(50)) and {r.id for r in got if r.oversize} == set(range(0, 50, 10))
+    alone = [r.sequence_id for r in got if r.oversize]
+    assert all(sum(x.sequence_id == s for x in got) == 1 for s in alone)

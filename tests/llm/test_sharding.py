@@ -47,3 +47,17 @@ def test_plan_is_native_and_writes_shuffled_files(spark, tmp_path):
     sharding.write_shards(found, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 300 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_rows_that_repeat_beyond_a_bucket_are_split(spark):
+    rows = [(1, "hot", 0, "x")] * 700 + [(1, "hot", 1, "x")] * 60 + [(None, None, 2, None)] * 90 + [(i, f"t{i}", 3, "x") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, shard string")
+    found = sharding.shuffle_into_shards(docs, shards=5, bucket_bytes=300)
+    got = found.collect()
+    assert collections.Counter((r.doc_id, r.text, r.n) for r in got) == collections.Counter((a, b, c) for a, b, c, _ in rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in v) == list(range(250)) for v in by.values())
+    assert all(110 < sum(r.text == "hot" for r in v) < 200 for v in by.values())
+    assert not [x for x in ("Python", "Pandas", "Arrow") if x in found._jdf.queryExecution().executedPlan().toString()]

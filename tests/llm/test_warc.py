@@ -61,3 +61,9 @@ def test_damage_is_found():
         list(warc.parse(good.replace(b"abc", b"abd")))
     with pytest.raises(ValueError):
         warc.BundleReader(pa.BufferReader(sink.getvalue() + b"123456789"))
+
+
+def test_hot_payloads_are_dealt_over_parts(spark):
+    rows = [(i, "u", LONG if i % 2 else f"{i % 7}" * 200) for i in range(1, 400)]
+    got = warc.with_roles(spark.createDataFrame(rows, "page_id long, url string, html string"), hot=10).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got) == sorted((p, r) for p, *_, r in expected(rows))
