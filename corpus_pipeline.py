@@ -7,23 +7,21 @@ and extra columns are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, langid, packing, secretscan
-from quarry.llm.common import documents, materialised, table
+from quarry.llm.common import discard, documents, materialised, scratch, table
 from quarry.llm.queries import word_tokenizer
 from quarry.llm.nearcopies import keep_one_of_each
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter (``und``) go.
+    """Documents in a language that was learnt, ``lang`` set to what the parse finds; texts that no language explains go.
 
     What is learnt comes from the ``documents`` table's rows that are not held out.
     """
-    return langid.drop_undetermined(docs, langid.learn(table(spark, sf_dir, "documents")))
+    return langid.keep_identified(docs, langid.learn(table(spark, sf_dir, "documents")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents, each written to the shared folder and read again but for the last."""
-
-    def step(docs: DataFrame, stage: tuple) -> DataFrame:
-        return materialised(stage[1](spark, docs, sf_dir), stage[0])[0]
+    """The stages over all documents, each written to the shared folder and read again but for the last.
 
-    last = functools.reduce(step, STAGES[:-1], documents(spark, sf_dir))
-    out = STAGES[-1][1](spark, last, sf_dir)
+    What a stage wrote for itself, and what it read, are deleted once its result is written.
+    """
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as made:
+            docs, path = materialised(stage(spark, docs, sf_dir), name)
+            made.remove(path)
+        if before:
+            discard(spark, before)
+        before = path
+    out = STAGES[-1][1](spark, docs, sf_dir)
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
