@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,27 +119,53 @@ def check_hash_name(algo: str) -> str:
     return algo
 
 
-def _plain(value):
-    """Rows as dicts, byte arrays as bytes."""
-    if isinstance(value, bytearray):
-        return bytes(value)
-    if hasattr(value, "asDict"):
-        return {k: _plain(v) for k, v in value.asDict().items()}
-    return [_plain(v) for v in value] if isinstance(value, list | tuple) else value
+def tree_manifest(entries: str) -> Column:
+    """``directory_manifest`` of a column of entries, by built-in functions; null where a field is."""
+    return F.unhex(_tree(F.col(entries)))
 
 
-def validate_objects(kind: str, objects):
+def _tree(entries: Column) -> Column:
+    """``directory_manifest`` of an array of entries, in hexadecimal."""
+    named = F.transform(entries, lambda e: F.struct(F.when(e["type"] == "dir", F.concat(e["name"], F.lit(bytearray(b"/")))).otherwise(e["name"]).alias("by"), e.alias("e")))
+    head = lambda e: F.concat(F.conv(e["perms"].cast("string"), 10, 8), F.lit(" ")).cast("binary")
+    return _joined(F.transform(F.array_sort(named), lambda x: F.concat(head(x["e"]), x["e"]["name"], F.lit(bytearray(b"\0")), x["e"]["target"])))
+
+
+def _refs(branches: Column) -> Column:
+    """``snapshot_manifest`` of an array of branches, in hexadecimal."""
+    named = F.transform(branches, lambda b: F.struct(b["name"].alias("by"), b.alias("b")))
+    target = lambda b: F.coalesce(b["target"], F.lit(bytearray()))
+    kind = lambda b: F.concat(F.coalesce(b["target_type"], F.lit("dangling")), F.lit(" ")).cast("binary")
+    size = lambda b: F.concat(F.octet_length(target(b)).cast("string"), F.lit(":")).cast("binary")
+    return _joined(F.transform(F.array_sort(named), lambda x: F.concat(kind(x["b"]), x["b"]["name"], F.lit(bytearray(b"\0")), size(x["b"]), target(x["b"]))))
+
+
+def _joined(parts: Column) -> Column:
+    """Null if one part is, as then no manifest can be made."""
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(F.transform(parts, F.hex), ""))
+
+
+def validate_objects(kind: str, objects: DataFrame) -> DataFrame:
     """Gathered directories, revisions, releases or snapshots with ``valid boolean``: whether their id is that of their manifest.
 
-    A row that no manifest can be made from is not valid.
+    A row that no manifest can be made from is not valid. Directories and snapshots are checked by built-in functions; commits
+    and tags, whose persons and dates have forms of their own, in Arrow batches.
     """
-    fields = [f.name for f in objects.schema]
+    if kind in ("directory", "snapshot"):
+        given = F.col("entries" if kind == "directory" else "branches")
+        made = F.unhex((_tree if kind == "directory" else _refs)(F.coalesce(given, F.array().cast(objects.schema["entries" if kind == "directory" else "branches"].dataType))))
+        manifest = F.coalesce("raw_manifest", made) if "raw_manifest" in objects.columns else made
+        return objects.withColumn("valid", F.coalesce(git_object_id(MANIFESTS[kind][0], manifest) == F.lower(F.hex("id")), F.lit(False)))
 
-    def check(row) -> bool:
+    def check(row: dict) -> bool:
         try:
-            own = _plain(row)
-            return object_id(kind, own) == own["id"]
+            return object_id(kind, row) == row["id"]
         except (KeyError, TypeError, AttributeError):
             return False
 
-    return objects.withColumn("valid", F.udf(check, "boolean")(F.struct(*fields)))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid = pa.array([check(row) for row in batch.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, valid], names=[*batch.schema.names, "valid"])
+
+    return objects.mapInArrow(mark, T.StructType([*objects.schema.fields, T.StructField("valid", T.BooleanType())]))

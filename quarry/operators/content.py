@@ -4,26 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.errors import ArgumentError
+from quarry.errors import ArgumentError, HashCollision
 from quarry.functions.identity import check_hash_name, content_hashes
 from quarry.operators.membership import null_safe_missing
 from quarry.schemas import HASHES
 from quarry.session import cut
 
 
+def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, nulls equal: the first in the order of the other columns, so the same each time (blobs and maps don't order)."""
+    rest = [f.name for f in rows.schema if f.name not in (*keys, "data") and not isinstance(f.dataType, T.MapType)]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or [F.lit(0)])))
+    return rows.withColumn("_n", nth).where("_n = 1").drop("_n")
+
+
 def new_rows(new: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key of ``new`` that ``table`` lacks; nulls equal nulls. What every *add* appends."""
-    return null_safe_missing(new.dropDuplicates(keys), table, keys)
+    return null_safe_missing(first_rows(new, keys), table, keys)
+
 
+def content_add(new: DataFrame, content: DataFrame, now=None, on_collision: str = "add", report: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, one-row summary): the key is all hashes together; ``ctime`` is now.
 
-def content_add(new: DataFrame, content: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, one-row summary): the key is all hashes together; ``ctime`` is now."""
+    A content that shares some hash with another one, but not all, collides: it is added and counted, or with
+    ``on_collision="raise"`` is an error that names up to ``report`` hashes. ``collisions`` gives the rows to log.
+    """
+    if on_collision not in ("add", "raise"):
+        raise ArgumentError(f"no way {on_collision} to treat a collision")
+    if on_collision == "raise" and (found := hash_collisions(new, content).limit(report).collect()):
+        raise HashCollision([(r["algo"], r["hash"]) for r in found])
     keys = [h for h in HASHES if h in content.columns]
     rows = new_rows(new, content, keys).withColumn("ctime", F.lit(now).cast("timestamp") if now is not None else F.current_timestamp())
-    return rows, rows.agg(F.count("*").alias("content_add"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("content_add_bytes"))
+    clashing = collisions(new, content).select(*keys).distinct()
+    counted = rows.select("length", F.lit(1).alias("added"), F.lit(0).alias("clashing")).unionByName(clashing.select(F.lit(0).alias("length"), F.lit(0).alias("added"), F.lit(1).alias("clashing")))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return rows, counted.agg(total("added", "content_add"), total("length", "content_add_bytes"), total("clashing", "content_add_collision"))
 
 
 def skipped_content_add(new: DataFrame, skipped: DataFrame, now=None) -> DataFrame:
@@ -42,10 +61,10 @@ def skipped_content_find(skipped: DataFrame, origins: DataFrame, **hashes) -> Da
 
 
 def content_update(content: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    """The table with ``columns`` taken from the update of equal ``sha1``; one update per hash."""
-    own = updates.select("sha1", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit")).dropDuplicates(["sha1"])
+    """The table with ``columns`` taken from the update of equal ``sha1``; of several updates of one hash the greatest."""
+    own = updates.groupBy("sha1").agg(F.max(F.struct(*columns)).alias("_new"))
     joined = content.join(own, "sha1", "left")
-    return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in content.columns])
+    return joined.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in content.columns])
 
 
 def content_get_data(ids: DataFrame, content: DataFrame, data: DataFrame, by: str = "sha1") -> DataFrame:
@@ -72,6 +91,13 @@ def hash_collisions(new: DataFrame, content: DataFrame) -> DataFrame:
     return every.groupBy("algo", "hash").agg(F.count("*").alias("contents")).where("contents > 1")
 
 
+def collisions(new: DataFrame, content: DataFrame) -> DataFrame:
+    """The rows of ``new`` that collide, once for each of their hashes that does, with ``algo`` and ``hash``: what an add logs."""
+    bad = hash_collisions(new, content).select("algo", "hash")
+    found = [new.join(bad.where(F.col("algo") == h).select("algo", F.col("hash").alias(h)), h).withColumn("hash", F.col(h)) for h in HASHES if h in new.columns]
+    return reduce(DataFrame.unionByName, found)
+
+
 def without_collisions(new: DataFrame, content: DataFrame) -> DataFrame:
     """The batch without the contents that collide: what a replay adds after it has reported them."""
     bad = hash_collisions(new, content)

@@ -1,43 +1,56 @@
-"""Closures and ordered walks over the revision graph."""
+"""Closures over the revision graph, and the orders in which their revisions are read."""
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.errors import ArgumentError
 from quarry.operators.directory import directory_entry_get_by_path
 from quarry.session import cut
 
 
-def ancestors(roots: DataFrame, parents: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """``(root, id, depth)``: every revision reachable from each of ``roots(root)``, the root included, at its least depth.
+def ancestors(roots: DataFrame, parents: DataFrame, per_root: bool = False) -> DataFrame:
+    """``(id, depth)``: every revision reachable from any of ``roots(root)``, they included, once, at its least depth.
+
+    With ``per_root`` the closure of each root by itself, ``(root, id, depth)``.
 
-    Only what a round newly reaches is joined with the edges, and what was reached before is taken out by an anti
-    join, so merges cost nothing twice. Each round is written to the shared folder.
+    A round goes from what the last one found, or found nearer, to its parents and along shortcuts: a revision's first
+    parent 2, 4, 8, ... generations up. Each round doubles the reach of the shortcuts, of which a revision has one per
+    doubling, so a line of n generations takes some 2 log n rounds, and each change to another parent one more. A round is a
+    join with the edges and one grouping, written to the shared folder; it ends when nothing comes nearer.
     """
-    edges = parents.select(F.col("id").alias("_from"), F.col("parent_id").alias("_to")).distinct()
-    front, _ = cut(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct(), "front")
-    seen = front
-    for depth in range(1, max_depth + 1):
-        step = front.join(edges, F.col("id") == F.col("_from")).select("root", F.col("_to").alias("id"), F.lit(depth).alias("depth")).distinct()
-        front, n = cut(step.join(seen, ["root", "id"], "left_anti"), "front")
-        if not n:
-            return seen
-        seen = seen.unionByName(front)
-        if depth % 16 == 0:
-            seen, _ = cut(seen, "seen")
-    raise RecursionError(f"history is longer than {max_depth}")
-
-
-def revision_log(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
-    """Full rows of all known ancestors of each root, by (depth, id); ``limit`` counts after that order, per root."""
-    rows = ancestors(roots, parents).join(revisions, "id")
+    keys = ["root", "id"] if per_root else ["id"]
+    edges = parents.select(F.col("id").alias("_from"), F.col("parent_id").alias("_to"), "parent_rank").where("_to is not null")
+    line = edges.groupBy("_from").agg(F.min_by("_to", F.struct("parent_rank", "_to")).alias("_to"))
+    line, longer = cut(line, "line")
+    hops = edges.select("_from", "_to", F.lit(1).cast("long").alias("_far")).distinct()
+    start = roots.select(*([F.col("root")] if per_root else []), F.col("root").alias("id")).distinct()
+    seen, n = cut(start.withColumn("depth", F.lit(0).cast("long")).withColumn("fresh", F.lit(True)), "seen")
+    far = 1
+    while n:
+        if longer:
+            far *= 2
+            up = line.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+            line, longer = cut(line.join(up, F.col("_to") == F.col("_mid")).select("_from", F.col("_end").alias("_to")), "line")
+            hops = hops.unionByName(line.withColumn("_far", F.lit(far).cast("long")))
+        step = seen.where("fresh").join(hops, F.col("id") == F.col("_from")).select(*[F.col("_to").alias(k) if k == "id" else k for k in keys], (F.col("depth") + F.col("_far")).alias("depth"))
+        old = seen.select(*keys, "depth", F.col("depth").alias("was")).unionByName(step.withColumn("was", F.lit(None).cast("long")))
+        now = old.groupBy(*keys).agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
+        seen, _ = cut(now.select(*keys, "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")), "seen")
+        n = seen.where("fresh").count()
+    return seen.select(*keys, F.col("depth").cast("int"))
+
+
+def revision_log(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None, per_root: bool = False) -> DataFrame:
+    """Full rows of all known ancestors of the roots, each once, with ``depth``; ``limit`` keeps the first by (depth, id).
+
+    With ``per_root`` each root's log by itself, and ``limit`` counts in each.
+    """
+    rows = ancestors(roots, parents, per_root).join(revisions, "id")
     if limit is None:
         return rows
+    if not per_root:
+        return rows.orderBy("depth", "id").limit(limit)
     nth = F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))
     return rows.withColumn("_n", nth).where(F.col("_n") <= limit).drop("_n")
 
@@ -48,104 +61,44 @@ def parent_lists(parents: DataFrame) -> DataFrame:
     return parents.groupBy("id").agg(F.transform(pairs, lambda p: p["parent_id"]).alias("parents"))
 
 
-def revision_shortlog(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
-    """``(root, id, depth, parents)`` of all known ancestors."""
-    rows = revision_log(roots, revisions.select("id"), parents, limit).join(parent_lists(parents), "id", "left")
+def with_parents(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """``rows`` with their parents by rank, an empty list for a revision without any."""
     kind = parents.schema["parent_id"].dataType.simpleString()
-    return rows.select("root", "id", "depth", F.coalesce("parents", F.array().cast(f"array<{kind}>")).alias("parents"))
+    return rows.join(parent_lists(parents), "id", "left").withColumn("parents", F.coalesce("parents", F.array().cast(f"array<{kind}>")))
 
 
-WALKS = ("committer_date", "bfs", "dfs", "dfs_post", "path")
+def revision_shortlog(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None, per_root: bool = False) -> DataFrame:
+    """``([root,] id, depth, parents)`` of all known ancestors, as ``revision_log``."""
+    return with_parents(revision_log(roots, revisions.select("id"), parents, limit, per_root), parents)
 
 
-class Walk:
-    """An order over a closure that is inherently sequential: a queue over (id, time, parents) of one root's ancestors.
+def by_date(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
+    """The known ancestors of the roots, latest ``seconds`` first, then by id; a revision without a date comes last.
 
-    Spark finds the closure; the order is made over its ids alone, on the driver, ``max_revs`` at a time. ``state``
-    (what is done and what waits) can be given to a later walk, which goes on from there.
+    Where no revision is older than its parents this is how a walk meets them that always goes on with the latest.
     """
+    rows = ancestors(roots, parents).join(revisions, "id").orderBy(F.col("seconds").desc_nulls_last(), "id")
+    return rows if limit is None else rows.limit(limit)
+
 
-    def __init__(self, kind: str, nodes: dict, start, max_revs: int | None = None, state: dict | None = None, paths: dict | None = None):
-        if kind not in WALKS:
-            raise ArgumentError(f"no walk {kind}")
-        self.kind, self.nodes, self.max_revs, self.paths = kind, nodes, max_revs, paths or {}
-        state = state or {"done": [], "waiting": [], "last": None, "count": 0}
-        self.done, self.last, self.count = set(state["done"]), state["last"], state["count"]
-        self.missing: set = set()
-        self.waiting = deque(state["waiting"]) if kind == "bfs" else list(state["waiting"])
-        if not state["waiting"] and not state["done"]:
-            self._meet(start)
-
-    def export_state(self) -> dict:
-        return {"done": sorted(self.done), "waiting": list(self.waiting), "last": self.last, "count": self.count}
-
-    @property
-    def truncated(self) -> bool:
-        """Whether some ancestor was not in the archive."""
-        return bool(self.missing)
-
-    def _meet(self, rev) -> None:
-        if rev in self.done:
-            return
-        if self.kind in ("committer_date", "path"):
-            if rev not in self.nodes:
-                self.missing.add(rev)
-                return
-            time = self.nodes[rev][0]
-            heapq.heappush(self.waiting, (-(time if time is not None else len(self.waiting)), rev))
-        else:
-            self.waiting.append(rev)
-
-    def _parents(self, rev) -> None:
-        above = self.nodes[rev][1]
-        here = self.paths.get(rev)
-        if self.kind == "path" and here is not None:
-            same = [p for p in above if self.paths.get(p) == here]
-            above = above if len(above) == 1 else same[:1] or above
-        for p in reversed(above) if self.kind == "dfs" else above:
-            self._meet(p)
-
-    def _returns(self, rev) -> bool:
-        if self.kind != "path":
-            return True
-        above, here = self.nodes[rev][1], self.paths.get(rev)
-        return here is not None if not above else all(self.paths.get(p) != here for p in above)
-
-    def _over(self) -> bool:
-        if self.max_revs is not None and self.count >= self.max_revs:
-            return True
-        if self.kind == "path" and self.last is not None and all(self.paths.get(p) is None for p in self.nodes[self.last][1]):
-            return True
-        return not self.waiting
-
-    def __iter__(self):
-        while not self._over():
-            if self.kind in ("committer_date", "path"):
-                rev = heapq.heappop(self.waiting)[1]
-            else:
-                rev = self.waiting.popleft() if self.kind == "bfs" else self.waiting.pop()
-            if rev in self.done:
-                continue
-            self.done.add(rev)
-            if rev not in self.nodes:
-                self.missing.add(rev)
-                continue
-            self._parents(rev)
-            if self._returns(rev):
-                self.last = rev
-                self.count += 1
-                yield rev
-
-
-def walk(kind: str, root, revisions: DataFrame, parents: DataFrame, max_revs: int | None = None, state: dict | None = None, path: list | None = None, entries: DataFrame | None = None) -> Walk:
-    """A walk from one root. ``revisions(id, seconds[, directory])``; ``path`` and ``entries`` for the walk of a path's history."""
-    spark = revisions.sparkSession
-    own = spark.createDataFrame([(root,)], f"root {dict(revisions.dtypes)['id']}")
-    closure = ancestors(own, parents).select("id")
-    rows = closure.join(revisions, "id").join(parent_lists(parents), "id", "left")
-    nodes = {r["id"]: (r["seconds"], r["parents"] or []) for r in rows.select("id", "seconds", "parents").collect()}
-    paths = None
-    if kind == "path":
-        asked = closure.join(revisions, "id").select(F.col("id").alias("ord"), F.col("directory").alias("root"), F.array(*map(F.lit, path)).alias("path"))
-        paths = {r["ord"]: r["target"] for r in directory_entry_get_by_path(asked, entries).collect()}
-    return Walk(kind, nodes, root, max_revs, state, paths)
+def breadth_first(roots: DataFrame, revisions: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
+    """The known ancestors of the roots generation by generation, within one by id."""
+    rows = ancestors(roots, parents).join(revisions, "id").orderBy("depth", "id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def path_history(roots: DataFrame, path: list, revisions: DataFrame, parents: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(id, depth, target)``: ancestors of the roots in which what is at ``path`` differs from what all parents have there.
+
+    A revision that has the same as some of its parents is followed to the first of those alone, so changes that a merge
+    did not take are left out; nothing is followed to where the path doesn't exist. All paths are resolved at once.
+    """
+    known = ancestors(roots, parents).select("id").join(revisions.select("id", "directory"), "id")
+    asked = known.select(F.col("id").alias("ord"), F.col("directory").alias("root"), F.array(*map(F.lit, path)).alias("path"))
+    at, _ = cut(directory_entry_get_by_path(asked, entries).select(F.col("ord").alias("id"), "target"), "at")
+    above = parents.join(at.withColumnsRenamed({"id": "parent_id", "target": "old"}), "parent_id").join(at, "id")
+    above = above.withColumn("same", F.col("old").eqNullSafe(F.col("target")))
+    alike = above.where("same").groupBy("id").agg(F.min("parent_rank").alias("only"))
+    kept = above.where("old is not null").join(alike, "id", "left").where(F.col("only").isNull() | (F.col("parent_rank") == F.col("only")))
+    met = ancestors(roots, kept.select("id", "parent_id", "parent_rank")).join(at.where("target is not null"), "id")
+    return met.join(alike, "id", "left_anti").select("id", "depth", "target")

@@ -15,9 +15,14 @@ def stat_counters(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("value")).select(F.lit(n).alias("label"), "value") for n, t in tables.items()])
 
 
+def bucket_of(key: str, buckets: int) -> F.Column:
+    """A bucket by the first 32 bits of the key's SHA-1."""
+    return (F.conv(F.substring(F.sha1(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")
+
+
 def bucketed_counters(table: DataFrame, key: str, buckets: int) -> DataFrame:
     """``(bucket, value)`` by hash of the key; recompute one bucket by filtering it."""
-    return table.groupBy(F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("value"))
+    return table.groupBy(bucket_of(key, buckets).alias("bucket")).agg(F.count("*").alias("value"))
 
 
 def refresh_bucket(counters: DataFrame, table: DataFrame, key: str, buckets: int, now) -> DataFrame:
@@ -25,7 +30,7 @@ def refresh_bucket(counters: DataFrame, table: DataFrame, key: str, buckets: int
     stale = counters.orderBy(F.asc_nulls_first("updated"), "bucket").limit(1).collect()
     if not stale:
         raise ArgumentError("no buckets")
-    n = table.where(F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(buckets)) == stale[0].bucket).count()
+    n = table.where(bucket_of(key, buckets) == stale[0].bucket).count()
     hit = F.col("bucket") == stale[0].bucket
     return counters.select("bucket", F.when(hit, F.lit(n)).otherwise(F.col("value")).alias("value"), F.when(hit, F.lit(now)).otherwise(F.col("updated")).alias("updated"))
 
@@ -74,6 +79,19 @@ def byte_ranges(bits: int, start: str = "", end: str | None = None) -> list[tupl
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
+def int_ranges(low: int, high: int, most: int) -> list[tuple[int, int]]:
+    """Half-open ranges of at most ``most`` ids that cover [low, high): units of a scan by a growing id."""
+    if most <= 0:
+        raise ArgumentError("a range holds one id at least")
+    return [(a, min(a + most, high)) for a in range(low, high, most)]
+
+
+def in_ranges(table: DataFrame, key: str, ranges: list[tuple]) -> DataFrame:
+    """``table`` with ``range int``: the number of the half-open range, of bytes, ints or identifiers alike, that the key is in; other rows go."""
+    number = F.coalesce(*[F.when((F.lit(True) if a is None else F.col(key) >= F.lit(a)) & (F.lit(True) if b is None else F.col(key) < F.lit(b)), F.lit(i)) for i, (a, b) in enumerate(ranges)])
+    return table.withColumn("range", number).where("range is not null")
+
+
 def list_by_object_id(table: DataFrame, key: str, low, high, limit: int | None = None) -> DataFrame:
     """Rows whose object id is in [low, high), in order: a listing by ranges of a growing id."""
     rows = table.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high))).orderBy(key)

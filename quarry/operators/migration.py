@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 #: Provider prefixes and what they are called.
 PROVIDERS = (
     ("https://registry.npmjs.org/", "npm"), ("https://replicate.npmjs.com/", "npm"), ("https://pypi.org/", "pypi"), ("https://cran.r-project.org/", "cran"),
-    ("https://nix-community.github.io/", "nixguix"), ("https://guix.gnu.org/", "nixguix"), ("https://ftp.gnu.org/", "gnu"), ("https://deposit.", "deposit"),
+    ("https://guix.gnu.org/sources.json", "nixguix"), ("https://ftp.gnu.org/", "gnu"),
 )
 #: Keys of an artifact that are kept, and the names of checksums.
 CHECKSUMS = ("sha1", "sha1_git", "sha256", "blake2s256")
 
 
-def provider_of(metadata: str | Column) -> Column:
-    """The name of the provider a JSON document says it is from, or what its keys show; null where neither does."""
+def provider_of(metadata: str | Column, more: tuple[tuple[str, str], ...] = ()) -> Column:
+    """The name of the provider a JSON document says it is from, or what its keys show; null where neither does.
+
+    ``more``: whole prefixes of further providers (a deposit server's, a mirror's) and their names.
+    """
     url = F.get_json_object(metadata, "$.extrinsic.provider")
-    named = F.coalesce(*[F.when(F.startswith(url, F.lit(prefix)), F.lit(name)) for prefix, name in PROVIDERS])
+    named = F.coalesce(*[F.when(F.startswith(url, F.lit(prefix)), F.lit(name)) for prefix, name in (*PROVIDERS, *more)])
     guess = F.when(F.get_json_object(metadata, "$.package_source.url").startswith("https://registry.npmjs.org/"), "npm")
     hosted = F.when(F.get_json_object(metadata, "$.original_artifact[0].url").startswith("https://files.pythonhosted.org/"), "pypi")
     atom = F.when(F.get_json_object(metadata, "$['@xmlns']").isNotNull(), "deposit")
@@ -37,12 +40,12 @@ def origin_of(provider: Column, metadata: str | Column) -> Column:
     )
 
 
-def migrate_revision_metadata(revisions: DataFrame, after=None) -> tuple[DataFrame, DataFrame]:
+def migrate_revision_metadata(revisions: DataFrame, after=None, more: tuple[tuple[str, str], ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(metadata rows, rows that no rule takes) from ``revisions(id, date, metadata)``; ``after``: go on past an id."""
     rows = revisions.where("metadata is not null")
     if after is not None:
         rows = rows.where(F.col("id") > F.lit(after))
-    provider = provider_of("metadata")
+    provider = provider_of("metadata", more)
     routed = rows.withColumn("provider", provider)
     payload = F.coalesce(F.get_json_object("metadata", "$.extrinsic.raw"), F.col("metadata"))
     when = F.coalesce(F.to_timestamp(F.get_json_object("metadata", "$.extrinsic.when")), F.col("date"))

@@ -138,4 +138,5 @@ def origin_visit_get_with_statuses(visits: DataFrame, statuses: DataFrame, allow
 def origin_visit_status_get_random(statuses: DataFrame, type: str, since, seed: int) -> DataFrame:
     """One full visit of a type since a time; the seed chooses."""
     rows = statuses.where((F.col("type") == type) & (F.col("status") == "full") & (F.col("date") >= F.lit(since)))
-    return rows.orderBy(F.xxhash64("origin", "visit", "date", F.lit(seed)), "origin", "visit", "date").limit(1)
+    drawn = F.sha1(F.concat_ws("/", "origin", F.col("visit").cast("string"), F.unix_micros(F.col("date").cast("timestamp")).cast("string"), F.lit(str(seed))).cast("binary"))
+    return rows.orderBy(drawn, "origin", "visit", "date").limit(1)

@@ -15,29 +15,33 @@ ENTRY_TARGETS = {"file": "content", "dir": "directory", "rev": "revision"}
 
 
 def edges(directory_entry=None, revision=None, revision_parent=None, release=None, snapshot_branch=None, origin_visit_status=None) -> DataFrame:
-    """``(source_type, source, target_type, target)`` of all edges in the given tables; dangling and alias branches have none."""
+    """``(source_type, source, target_type, target)`` of all edges in the given tables; dangling and alias branches have none.
 
-    def edge(df: DataFrame, source_type: str, source: str, target_type, target: str) -> DataFrame:
+    Edges of different tables are never equal; only where one object may name another twice are they made distinct.
+    """
+
+    def edge(df: DataFrame, source_type: str, source: str, target_type, target: str, once: bool = False) -> DataFrame:
         kind = F.lit(target_type) if isinstance(target_type, str) else target_type
         rows = df.select(F.lit(source_type).alias("source_type"), F.col(source).alias("source"), kind.alias("target_type"), F.col(target).alias("target"))
-        return rows.where("target is not null and target_type is not null")
+        rows = rows.where("target is not null and target_type is not null")
+        return rows if once else rows.distinct()
 
     names = F.create_map(*[F.lit(x) for pair in ENTRY_TARGETS.items() for x in pair])
     found = []
     if directory_entry is not None:
         found.append(edge(directory_entry, "directory", "directory_id", names[F.col("type")], "target"))
     if revision is not None:
-        found.append(edge(revision, "revision", "id", "directory", "directory"))
+        found.append(edge(revision, "revision", "id", "directory", "directory", once=True))
     if revision_parent is not None:
         found.append(edge(revision_parent, "revision", "id", "revision", "parent_id"))
     if release is not None:
-        found.append(edge(release, "release", "id", F.col("target_type"), "target"))
+        found.append(edge(release, "release", "id", F.col("target_type"), "target", once=True))
     if snapshot_branch is not None:
         found.append(edge(snapshot_branch.where("target_type <> 'alias'"), "snapshot", "snapshot_id", F.col("target_type"), "target"))
     if origin_visit_status is not None:
         hashed = origin_visit_status.withColumn("origin", F.sha1(F.col("origin").cast("binary")))
         found.append(edge(hashed, "origin", "origin", "snapshot", "snapshot"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
 def object_references_add(new: DataFrame, table: DataFrame | None, date: datetime.date, open_weeks: set[tuple[int, int]] | None = None) -> DataFrame:
@@ -51,10 +55,14 @@ def object_references_add(new: DataFrame, table: DataFrame | None, date: datetim
 
 
 def object_find_recent_references(asked: DataFrame, table: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` sources of each target over all weeks, by (type, id)."""
-    rows = asked.select("target_type", "target").distinct().join(table, ["target_type", "target"]).select("target_type", "target", "source_type", "source").distinct()
-    nth = F.row_number().over(Window.partitionBy("target_type", "target").orderBy("source_type", "source"))
-    return rows.withColumn("ord", nth).where(F.col("ord") <= limit)
+    """At most ``limit`` sources of each target over all weeks, by (type, id).
+
+    Sources are ranked alike where weeks repeat them, so map tasks keep the first ranks of a hot target, and only those are
+    made distinct.
+    """
+    rows = asked.select("target_type", "target").distinct().join(table, ["target_type", "target"]).select("target_type", "target", "source_type", "source")
+    nth = F.dense_rank().over(Window.partitionBy("target_type", "target").orderBy("source_type", "source"))
+    return rows.withColumn("ord", nth).where(F.col("ord") <= limit).distinct()
 
 
 def week_bounds(iso_year: int, iso_week: int) -> tuple[datetime.date, datetime.date]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.content import new_rows
 from quarry.operators.graph import parent_lists
+from quarry.operators.policy import with_display_names
 
 
 def revision_add(new: DataFrame, revision: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,13 +21,14 @@ def release_add(new: DataFrame, release: DataFrame) -> DataFrame:
     return new_rows(new, release, ["id"])
 
 
-def revision_get(ids: DataFrame, revision: DataFrame, parents: DataFrame) -> DataFrame:
-    """Aligned revisions with their parents in order; nulls for unknown ids."""
-    return ids.join(revision, "id", "left").join(parent_lists(parents), "id", "left")
+def revision_get(ids: DataFrame, revision: DataFrame, parents: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Aligned revisions with their parents in order; nulls for unknown ids. ``names``: display names of persons to show."""
+    own = revision if names is None else with_display_names(revision, names, [c for c in ("author", "committer") if c in revision.columns])
+    return ids.join(own, "id", "left").join(parent_lists(parents), "id", "left")
 
 
-def release_get(ids: DataFrame, release: DataFrame) -> DataFrame:
-    return ids.join(release, "id", "left")
+def release_get(ids: DataFrame, release: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    return ids.join(release if names is None else with_display_names(release, names, ["author"]), "id", "left")
 
 
 def persons(df: DataFrame, columns: list[str], known: DataFrame | None = None) -> DataFrame:

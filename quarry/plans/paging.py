@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError
+from quarry.session import cut
 
 
 def page(df: DataFrame, keys: list[str], limit: int, after: tuple | None = None, descending: bool = False) -> tuple[DataFrame, tuple | None]:
@@ -36,26 +37,36 @@ def page_from(df: DataFrame, keys: list[str], limit: int, start: tuple | None =
     return df.orderBy(*order).limit(limit), tuple(found[limit]) if len(found) > limit else None
 
 
-def partition_bounds(i: int, n: int, nb_bytes: int = 20) -> tuple[bytes, bytes | None]:
-    """Half-open bounds [low, high) of part ``i`` of ``n``, a power of two, of the space of hashes; None: no upper bound."""
-    if n <= 0 or n & (n - 1):
-        raise ArgumentError("the number of partitions must be a power of two")
-    if not 0 <= i < n:
-        raise ArgumentError("the partition must be between 0 and their number")
-    size = (1 << 8 * nb_bytes) // n
-    return (size * i).to_bytes(nb_bytes, "big"), None if i == n - 1 else (size * (i + 1)).to_bytes(nb_bytes, "big")
+def leading_digits(part: int, parts: int, digit_bits: int = 4) -> list[int]:
+    """The first digits, most significant first, of the least hash in a part of the hash space.
 
+    ``parts`` is a power of two, so a part is what begins with certain bits; whole digits of ``digit_bits`` that hold them
+    are enough to compare by, as a longer string that begins alike sorts after.
+    """
+    bits = parts.bit_length() - 1
+    if parts < 1 or parts != 1 << bits:
+        raise ArgumentError(f"hash space is cut by leading bits, which can't give {parts} parts")
+    if part not in range(parts):
+        raise ArgumentError(f"there is no part {part} of {parts}")
+    count = -(-bits // digit_bits)
+    filled = part << count * digit_bits - bits
+    return [filled >> digit_bits * k & (1 << digit_bits) - 1 for k in reversed(range(count))]
+
+
+def in_partition(column: str, part: int, parts: int, as_hex: bool = False) -> Column:
+    """Whether a binary or, ``as_hex``, lower-case hex hash is in the part: a range, which is pushed down to the files."""
+
+    def least(k: int) -> Column:
+        digits = leading_digits(k, parts, 4 if as_hex else 8)
+        return F.lit("".join(f"{d:x}" for d in digits) if as_hex else bytearray(digits))
 
-def in_partition(column: str, i: int, n: int, as_hex: bool = False, nb_bytes: int = 20) -> Column:
-    low, high = partition_bounds(i, n, nb_bytes)
-    show = (lambda b: F.lit(b.hex())) if as_hex else (lambda b: F.lit(bytearray(b)))
-    own = F.col(column) >= show(low)
-    return own if high is None else own & (F.col(column) < show(high))
+    own = F.col(column) >= least(part)
+    return own if part + 1 == parts else own & (F.col(column) < least(part + 1))
 
 
-def get_partition(df: DataFrame, key: str, i: int, n: int, limit: int | None = None, start=None, as_hex: bool = False) -> tuple[DataFrame, object]:
+def get_partition(df: DataFrame, key: str, part: int, parts: int, limit: int | None = None, start=None, as_hex: bool = False) -> tuple[DataFrame, object]:
     """Rows of one part of the hash space in order of ``key``; with ``limit`` one page and the next page's first key."""
-    rows = df.where(in_partition(key, i, n, as_hex))
+    rows = df.where(in_partition(key, part, parts, as_hex))
     if limit is None:
         return rows.orderBy(key), None
     found, token = page_from(rows, [key], limit, None if start is None else (start,))
@@ -79,3 +90,25 @@ def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     rest = F.struct(*order, *[c for c in df.columns if c not in order and c not in by])
     best = df.groupBy(*by).agg(F.max_by(rest, F.struct(*order)).alias("_best"))
     return best.select(*by, *[F.col(f"_best.{c}").alias(c) for c in df.columns if c not in by])
+
+
+def numbered(df: DataFrame, order: list, name: str = "_at", total: str | None = None) -> DataFrame:
+    """``df`` with each row's place in ``order``, from 0, as ``name`` and, if asked, the running sum of ``total`` before it as ``<name>_sum``.
+
+    Rows are sorted by ranges over all tasks and written once; a row's place is that in its range and what the ranges before
+    it hold. No task sees more than its range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt, _ = cut(dealt.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), *([F.sum(total).alias("_s")] if total else []))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), *([F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sum")] if total else []))
+    out = dealt.join(sizes, "_part").withColumn(name, inside + F.col("_base"))
+    if total:
+        own = F.sum(total).over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(f"{name}_sum", F.coalesce(own, F.lit(0)) + F.col("_sum")).drop("_sum")
+    return out.drop("_part", "_row", "_base")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from quarry.functions import identity, text
 from quarry.operators import content, diff, directory, graph, lifecycle, membership, metadata, migration, origin, policy, references, revision, snapshot
 from quarry.plans import paging
+from quarry.session import shared_dir
 from quarry.sources.projections import checking_sql, view
+from quarry.sources.store import Archive
 from quarry.streaming import journal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +40,9 @@ def micros(column: str) -> F.Column:
 # Membership
 
 
-@query("select d.sha1 from (select sha1(html) as sha1 from pages union select sha1 from v_content where doc_id % 5 = 0) d where not exists (select 1 from v_content c where c.sha1 = d.sha1 and c.doc_id % 2 = 0)", "content")
+@query("select d.sha1 from (select sha1(html) as sha1 from pages union select sha1 from v_content) d where not exists (select 1 from v_content c where c.sha1 = d.sha1 and c.doc_id % 2 = 0)", "content")
 def content_missing_per_sha1(v):
-    asked = v("pages").select(F.sha1("html").alias("sha1")).union(v("content").where("doc_id % 5 = 0").select("sha1")).distinct()
+    asked = v("pages").select(F.sha1("html").alias("sha1")).union(v("content").select("sha1")).distinct()
     return membership.missing(asked, v("content").where("doc_id % 2 = 0"), "sha1")
 
 
@@ -49,12 +53,12 @@ def content_missing_per_sha1_git(v):
 
 
 @query(
-    "select a.sha1 from (select sha1, case when doc_id % 2 = 0 then sha1_git end as sha1_git, case when doc_id % 3 = 0 then sha1(sha256) else sha256 end as sha256 from v_content where doc_id % 4 < 2) a where not exists (select 1 from v_content c where c.sha1 = a.sha1 and (a.sha1_git is null or a.sha1_git = c.sha1_git) and a.sha256 = c.sha256)",
+    "select a.sha1 from (select sha1, case when doc_id % 2 = 0 then sha1_git end as sha1_git, case when doc_id % 3 = 0 then sha1(sha256) else sha256 end as sha256 from v_content) a where not exists (select 1 from v_content c where c.sha1 = a.sha1 and (a.sha1_git is null or a.sha1_git = c.sha1_git) and a.sha256 = c.sha256)",
     "content",
 )
 def content_missing(v):
     c = v("content")
-    asked = c.where("doc_id % 4 < 2").selectExpr("sha1", "case when doc_id % 2 = 0 then sha1_git end sha1_git", "case when doc_id % 3 = 0 then sha1(sha256) else sha256 end sha256")
+    asked = c.selectExpr("sha1", "case when doc_id % 2 = 0 then sha1_git end sha1_git", "case when doc_id % 3 = 0 then sha1(sha256) else sha256 end sha256")
     return membership.content_missing(asked, c)
 
 
@@ -67,10 +71,11 @@ def skipped_content_missing(v):
     return membership.skipped_content_missing(s.select("sha1", "sha1_git", "sha256"), s.where("length % 2 = 0"))
 
 
-@query("select distinct sha1_git, sha256, length, reason from v_skipped where length between 9000 and 12000 and sha256 is not null", "skipped")
+@query("select s.origin, s.origin_known, s.sha1_git, s.length from (select url as origin, true as origin_known, sha1_git, length from (select sha1_git, length, 'https://archive.example/u' || length % 50 as url from v_skipped where reason = 'too long') k where url in (select url from v_origin) union all select url, null, sha1_git, length from (select sha1_git, length, 'https://archive.example/u' || length % 50 as url from v_skipped where reason = 'too long') k where url not in (select url from v_origin)) s where s.sha1_git = (select max(sha1_git) from v_skipped)", "skipped", "origin")
 def skipped_content_find(v):
-    s = v("skipped")
-    return s.where("length between 9000 and 12000").where(F.col("sha256").isNotNull()).select("sha1_git", "sha256", "length", "reason").distinct()
+    rows = v("skipped").withColumn("origin", F.expr("'https://archive.example/u' || length % 50"))
+    wanted = rows.agg(F.max("sha1_git")).first()[0]
+    return content.skipped_content_find(rows, v("origin"), sha1_git=wanted).select("origin", "origin_known", "sha1_git", "length")
 
 
 def _missing(name: str, table: str, keep: str):
@@ -94,27 +99,25 @@ def directory_missing(v):
     return membership.missing(e.where("type = 'dir'").select(F.col("target").alias("id")).distinct(), e.where("name < 'M'").select(F.col("directory_id").alias("id")))
 
 
-@query("select sha1, max(struct_pack(a := sha1_git, b := sha256)).b as sha256, any_value(length) as length from v_content where doc_id % 7 = 0 group by sha1", "content")
+@query("select sha1, max(struct_pack(a := sha1_git, b := sha256)).b as sha256, any_value(length) as length from v_content group by sha1", "content")
 def content_get(v):
-    c = v("content").drop("doc_id")
-    asked = v("content").where("doc_id % 7 = 0").select("sha1").distinct().withColumn("ord", F.lit(0))
-    return membership.content_get(asked, c).select("sha1", "sha256", "length")
+    asked = v("content").select("sha1").distinct().withColumn("ord", F.lit(0))
+    return membership.content_get(asked, v("content").drop("doc_id")).select("sha1", "sha256", "length")
 
 
-@query("select sha1, sha1_git, sha256, length from v_content where sha256 = (select sha256 from v_content where doc_id = 3)", "content")
+@query("select sha1, sha1_git, sha256, length from v_content where sha256 = (select max(sha256) from v_content)", "content")
 def content_find(v):
     c = v("content")
-    wanted = c.where("doc_id = 3").select("sha256")
-    return c.join(wanted, "sha256", "left_semi").select("sha1", "sha1_git", "sha256", "length")
+    return membership.content_find(c, sha256=c.agg(F.max("sha256")).first()[0]).select("sha1", "sha1_git", "sha256", "length")
 
 
 @query(
-    "select id, object_type from (select sha1_git as id from v_content where doc_id % 10 = 0 union select id from v_revision where turn = 1 union select id from v_release union select sha1('none') as id) a left join (select sha1_git as id, 'content' as object_type from v_content union select id, 'revision' from v_revision union select id, 'release' from v_release) t using (id)",
+    "select id, object_type from (select sha1_git as id from v_content union select id from v_revision union select id from v_release union select sha1('none') as id) a left join (select sha1_git as id, 'content' as object_type from v_content union select id, 'revision' from v_revision union select id, 'release' from v_release) t using (id)",
     "content", "revision", "release",
 )
 def object_find_by_sha1_git(v):
     c, r, rel = v("content"), v("revision"), v("release")
-    asked = c.where("doc_id % 10 = 0").select(F.col("sha1_git").alias("id")).union(r.where("turn = 1").select("id")).union(rel.select("id"))
+    asked = c.select(F.col("sha1_git").alias("id")).union(r.select("id")).union(rel.select("id"))
     asked = asked.union(rel.limit(1).select(F.sha1(F.lit("none").cast("binary"))))
     return membership.object_find_by_sha1_git(asked, {"content": (c, "sha1_git"), "revision": (r, "id"), "release": (rel, "id")})
 
@@ -126,12 +129,13 @@ def known_identifiers(v):
     return membership.known_identifiers(asked, {"revision": (r.where("turn < 2"), "id"), "release": (rel.where("name < 'd'"), "id")})
 
 
-@query("select object_type, n from (select 'content' as object_type, count(*) as n from v_content c where not exists (select 1 from v_content o where o.sha1_git = c.sha1_git and o.doc_id % 2 = 1) union all select 'directory', count(*) from (select distinct directory_id from v_tree2 where directory_id not in (select directory_id from v_tree1)) x)", "content", "tree1", "tree2")
+@query("select 'content' as object_type, sha1_git as id from v_content c where not exists (select 1 from v_content o where o.sha1_git = c.sha1_git and o.doc_id % 2 = 1) union all select 'skipped_content', sha1_git from v_skipped s where not exists (select 1 from v_skipped o where o.sha1_git = s.sha1_git and o.length % 2 = 1) union all select 'directory', directory_id from (select distinct directory_id from v_tree2 where directory_id not in (select directory_id from v_tree1)) x", "content", "skipped", "tree1", "tree2")
 def discovery(v):
-    c = v("content")
+    c, s = v("content"), v("skipped")
     dirs = lambda t: v(t).select(F.col("directory_id").alias("id")).distinct()
-    found = membership.discover(c, v("skipped"), dirs("tree2"), {"content": c.where("doc_id % 2 = 1"), "skipped_content": v("skipped"), "directory": dirs("tree1")})
-    return lifecycle.stat_counters({k: found[k] for k in ("content", "directory")}).withColumnsRenamed({"label": "object_type", "value": "n"})
+    found = membership.discover(c, s, dirs("tree2"), {"content": c.where("doc_id % 2 = 1"), "skipped_content": s.where("length % 2 = 1"), "directory": dirs("tree1")})
+    named = [found[k].select(F.lit(k).alias("object_type"), F.col("id" if k == "directory" else "sha1_git").alias("id")) for k in ("content", "skipped_content", "directory")]
+    return named[0].union(named[1]).union(named[2])
 
 
 # Content
@@ -144,10 +148,27 @@ def content_add(v):
     return rows.select("sha1", "sha1_git", "sha256", "length")
 
 
-@query("select count(*) as content_add, coalesce(cast(sum(length) as bigint), 0) as content_add_bytes from (select distinct sha1, length from v_content)", "content")
+_FORGED = "forged as (select doc_id, sha1, case when doc_id % 10 = 0 then sha1(sha1_git) else sha1_git end as sha1_git, sha256, length from v_content where doc_id % 2 = 0), old as (select sha1, sha1_git, sha256, length from v_content where doc_id % 3 = 0), every as (select sha1, sha1_git, sha256 from forged union select sha1, sha1_git, sha256 from old), bad as (select 'sha1' as algo, sha1 as hash from every group by 2 having count(*) > 1 union all select 'sha1_git', sha1_git from every group by 2 having count(*) > 1 union all select 'sha256', sha256 from every group by 2 having count(*) > 1)"
+
+
+def _forged(v):
+    c = v("content").drop("status")
+    return c.where("doc_id % 2 = 0").withColumn("sha1_git", F.expr("case when doc_id % 10 = 0 then sha1(sha1_git) else sha1_git end")), c.where("doc_id % 3 = 0").drop("doc_id")
+
+
+@query("select count(*) as content_add, coalesce(cast(sum(length) as bigint), 0) as content_add_bytes, (select count(*) from (select distinct sha1, sha1_git, sha256 from forged f where exists (select 1 from bad b where b.hash = f.sha1 and algo = 'sha1' or b.hash = f.sha1_git and algo = 'sha1_git' or b.hash = f.sha256 and algo = 'sha256')) x) as content_add_collision from (select distinct sha1, sha1_git, sha256, length from forged f where not exists (select 1 from old o where o.sha1 = f.sha1 and o.sha1_git = f.sha1_git and o.sha256 = f.sha256)) y", "content", recursive=_FORGED)
 def content_add_summary(v):
-    c = v("content")
-    return content.content_add(c, c.limit(0))[1]
+    return content.content_add(*_forged(v))[1]
+
+
+@query("select distinct f.doc_id, b.algo, b.hash from forged f join bad b on b.algo = 'sha1' and b.hash = f.sha1 or b.algo = 'sha1_git' and b.hash = f.sha1_git or b.algo = 'sha256' and b.hash = f.sha256", "content", recursive=_FORGED)
+def content_add_collisions(v):
+    return content.collisions(*_forged(v)).select("doc_id", "algo", "hash")
+
+
+@query("select sha1, sha1_git, sha256 from (select distinct sha1, sha1_git, sha256 from forged) f where sha1 not in (select hash from bad) and sha1_git not in (select hash from bad) and sha256 not in (select hash from bad)", "content", recursive=_FORGED)
+def content_without_collisions(v):
+    return content.without_collisions(*_forged(v)).select("sha1", "sha1_git", "sha256").distinct()
 
 
 @query("select doc_id, sha1, case when exists (select 1 from v_content o where o.sha1 = c.sha1 and o.doc_id % 5 = 0) then 'hidden' else status end as status, length from v_content c", "content")
@@ -156,10 +177,10 @@ def content_update(v):
     return content.content_update(c, c.where("doc_id % 5 = 0").withColumn("status", F.lit("hidden")), ["status"])
 
 
-@query("select c.sha1, d.text from (select distinct sha1, sha256 from v_content where doc_id % 50 = 0) c join (select distinct sha256(text) as sha256, text from documents) d using (sha256)", "content")
+@query("select c.sha1, d.text from (select distinct sha1, sha256 from v_content) c join (select distinct sha256(text) as sha256, text from documents) d using (sha256)", "content")
 def content_get_data(v):
     data = v("documents").select(F.sha2("text", 256).alias("sha256"), F.col("text").alias("data")).distinct()
-    asked = v("content").where("doc_id % 50 = 0").select("sha1").distinct()
+    asked = v("content").select("sha1").distinct()
     return content.content_get_data(asked, v("content"), data).select("sha1", F.col("data").alias("text"))
 
 
@@ -169,17 +190,19 @@ def content_get_partition(v):
 
 
 _LONG = "(select sha1, case when length % 10 = 0 then sha1(cast(length as varchar)) else sha1_git end as sha1_git, case when length % 10 = 0 then sha256(cast(doc_id as varchar)) else sha256 end as sha256 from v_content union select sha1, sha1('x' || sha1), sha256 from v_content where doc_id % 20 = 0)"
+_KNOWN = "(select sha1, sha1_git, sha256 from v_content where doc_id % 7 = 0)"
+_STACKED = lambda rows: f"select 'sha1' as algo, sha1 as hash, * from {rows} union all select 'sha1_git', sha1_git, * from {rows} union all select 'sha256', sha256, * from {rows}"
 
 
 @query(
-    f"select algo, hash, count(*) as contents from (select distinct algo, hash, sha1, sha1_git, sha256 from (select 'sha1' as algo, sha1 as hash, * from {_LONG} union all select 'sha1_git', sha1_git, * from {_LONG} union all select 'sha256', sha256, * from {_LONG}) y) z group by 1, 2 having count(*) > 1",
+    f"select algo, hash, count(*) as contents from (select algo, hash, sha1, sha1_git, sha256 from ({_STACKED(_LONG)}) y union select algo, hash, sha1, sha1_git, sha256 from ({_STACKED(_KNOWN)}) k where (algo, hash) in (select algo, hash from ({_STACKED(_LONG)}) n)) z group by 1, 2 having count(*) > 1",
     "content",
 )
 def content_hash_collisions(v):
     c = v("content")
     forged = c.selectExpr("sha1", "case when length % 10 = 0 then sha1(cast(length as string)) else sha1_git end sha1_git", "case when length % 10 = 0 then sha2(cast(doc_id as string), 256) else sha256 end sha256")
     forged = forged.union(c.where("doc_id % 20 = 0").selectExpr("sha1", "sha1(concat('x', sha1))", "sha256"))
-    return content.hash_collisions(forged, forged.limit(0))
+    return content.hash_collisions(forged, c.where("doc_id % 7 = 0"))
 
 
 @query("select distinct sha1_git, sha256, length from v_skipped s where not exists (select 1 from v_skipped t where t.length % 2 = 0 and t.sha1_git = s.sha1_git and t.sha256 is not distinct from s.sha256)", "skipped")
@@ -275,40 +298,83 @@ def diff_directories_with_renames(v):
 
 
 @query(
-    "select r.id as pair, 'insert' as type, null::varchar as from_path, w.path as to_path from v_revision r, w where r.turn = 0 and r.conv_id = 1 and w.root = 'root2' and (w.type = 'file' or w.target not in (select directory_id from v_entry))",
+    "select r.id as pair, 'insert' as type, null::varchar as from_path, w.path as to_path from v_revision r, w where r.turn = 0 and w.root = r.directory and (w.type = 'file' or w.target not in (select directory_id from v_entry))",
     "entry", "revision", recursive=_WALK,
 )
 def diff_revision(v):
     r = v("revision")
-    return diff.diff_revision(r.where("turn < 2 and conv_id = 1"), r, v("parent"), v("entry"))
+    return diff.diff_revision(r, r, v("parent"), v("entry"))
 
 
 # Revisions and releases
 
-_CLOSURE = "c as (select id as root, id, 0 as depth from v_revision where turn = 3 union select c.root, p.parent_id, c.depth + 1 from c join v_parent p on p.id = c.id)"
+_CLOSURE = "c as (select id, 0 as depth from v_revision where turn = 3 union select p.parent_id, c.depth + 1 from c join v_parent p on p.id = c.id), log as (select c.id, min(c.depth) as depth from c join v_revision r on r.id = c.id group by 1)"
+_CLOSURES = "c as (select id as root, id, 0 as depth from v_revision where turn = 3 union select c.root, p.parent_id, c.depth + 1 from c join v_parent p on p.id = c.id)"
+_PARENTS = "coalesce((select string_agg(p.parent_id, ',' order by p.parent_rank) from v_parent p where p.id = x.id), '')"
+
 
+def _late(v):
+    return v("revision").where("turn = 3").select(F.col("id").alias("root"))
 
-@query("select c.root, c.id, min(c.depth) as depth from c join v_revision r on r.id = c.id group by 1, 2", "revision", "parent", recursive=_CLOSURE)
+
+@query("select id, depth from log", "revision", "parent", recursive=_CLOSURE)
 def revision_log(v):
-    r = v("revision")
-    return graph.revision_log(r.where("turn = 3").select(F.col("id").alias("root")), r, v("parent")).select("root", "id", "depth")
+    return graph.revision_log(_late(v), v("revision"), v("parent")).select("id", "depth")
+
+
+@query("select c.root, c.id, min(c.depth) as depth from c join v_revision r on r.id = c.id group by 1, 2", "revision", "parent", recursive=_CLOSURES)
+def revision_log_per_root(v):
+    return graph.revision_log(_late(v), v("revision"), v("parent"), per_root=True).select("root", "id", "depth")
+
+
+@query(f"select x.id, x.depth, {_PARENTS} as parents from (select * from log order by depth, id limit 50) x", "revision", "parent", recursive=_CLOSURE)
+def revision_shortlog(v):
+    rows = graph.revision_shortlog(_late(v), v("revision"), v("parent"), limit=50)
+    return rows.withColumn("parents", F.array_join("parents", ","))
 
 
 @query(
-    "select x.root, x.id, x.depth, coalesce((select string_agg(p.parent_id, ',' order by p.parent_rank) from v_parent p where p.id = x.id), '') as parents from (select root, id, depth, row_number() over (partition by root order by depth, id) as n from (select c.root, c.id, min(c.depth) as depth from c join v_revision r on r.id = c.id group by 1, 2)) x where n <= 5",
-    "revision", "parent", recursive=_CLOSURE,
+    f"select x.root, x.id, x.depth, {_PARENTS} as parents from (select root, id, depth, row_number() over (partition by root order by depth, id) as n from (select c.root, c.id, min(c.depth) as depth from c join v_revision r on r.id = c.id group by 1, 2)) x where n <= 5",
+    "revision", "parent", recursive=_CLOSURES,
 )
-def revision_shortlog(v):
-    r = v("revision")
-    rows = graph.revision_shortlog(r.where("turn = 3").select(F.col("id").alias("root")), r, v("parent"), limit=5)
+def revision_shortlog_per_root(v):
+    rows = graph.revision_shortlog(_late(v), v("revision"), v("parent"), limit=5, per_root=True)
     return rows.withColumn("parents", F.array_join("parents", ","))
 
 
-@query("select r.id, r.seconds, coalesce(string_agg(p.parent_id, ',' order by p.parent_rank), '') as parents from v_revision r left join v_parent p on p.id = r.id where r.conv_id % 2 = 0 group by 1, 2", "revision", "parent")
+@query("select id, seconds, cast(row_number() over (order by seconds desc, id) as integer) as ord from (select log.id, r.seconds from log join v_revision r on r.id = log.id)", "revision", "parent", recursive=_CLOSURE)
+def revisions_by_date(v):
+    found = graph.by_date(_late(v), v("revision"), v("parent")).select("id", "seconds")
+    return paging.numbered(found, [F.desc("seconds"), "id"], "ord").withColumn("ord", (F.col("ord") + 1).cast("int"))
+
+
+@query("select id, depth from log order by depth, id limit 100", "revision", "parent", recursive=_CLOSURE)
+def revisions_breadth_first(v):
+    return graph.breadth_first(_late(v), v("revision"), v("parent"), limit=100).select("id", "depth")
+
+
+_PATH = ", there as (select r.id, e2.target from (select log.id, r.directory from log join v_revision r on r.id = log.id) r left join v_entry e1 on e1.directory_id = r.directory and e1.name = 'ASIA' left join v_entry e2 on e2.directory_id = e1.target and e2.name = 'CHINA'), above as (select p.id, p.parent_id, p.parent_rank, o.target as old, a.target is not distinct from o.target as same from v_parent p join there o on o.id = p.parent_id join there a on a.id = p.id), kept as (select x.* from above x left join (select id, min(parent_rank) as only from above where same group by 1) s on s.id = x.id where x.old is not null and (s.only is null or s.only = x.parent_rank)), m as (select id, 0 as depth from v_revision where turn = 3 union select k.parent_id, m.depth + 1 from m join kept k on k.id = m.id)"
+
+
+@query("select m.id, min(m.depth) as depth, any_value(t.target) as target from m join there t on t.id = m.id where t.target is not null and m.id not in (select id from above where same) group by 1", "revision", "parent", "entry", recursive=_CLOSURE + _PATH)
+def revisions_path_history(v):
+    return graph.path_history(_late(v), ["ASIA", "CHINA"], v("revision"), v("parent"), v("entry"))
+
+
+_SIGNED = "signed as (select r.*, p.fullname from v_revision r join v_person p on p.id = 1 + r.conv_id % 150)"
+_SHOWN = "coalesce(d.display_name, s.fullname) as author from {0} s left join v_display d on d.original_email = regexp_extract(s.fullname, '<(.*)>', 1)"
+
+
+def _signed(rows, v, number: str):
+    people = v("person").select(F.col("id").alias("_p"), text.parse_person(F.col("fullname")).alias("author"))
+    return rows.join(people, F.expr(f"1 + {number} % 150") == F.col("_p")).drop("_p")
+
+
+@query("select s.id, s.seconds, coalesce((select string_agg(p.parent_id, ',' order by p.parent_rank) from v_parent p where p.id = s.id), '') as parents, " + _SHOWN.format("signed"), "revision", "parent", "person", "display", recursive=_SIGNED)
 def revision_get(v):
-    r = v("revision")
-    rows = revision.revision_get(r.where("conv_id % 2 = 0").select("id", F.lit(0).alias("ord")), r, v("parent"))
-    return rows.select("id", "seconds", F.coalesce(F.array_join("parents", ","), F.lit("")).alias("parents"))
+    r = _signed(v("revision"), v, "conv_id")
+    rows = revision.revision_get(r.select("id", F.lit(0).alias("ord")), r, v("parent"), v("display"))
+    return rows.select("id", "seconds", F.coalesce(F.array_join("parents", ","), F.lit("")).alias("parents"), F.col("author.fullname").alias("author"))
 
 
 @query("select id, parent_rank, parent_id from v_parent where id in (select id from v_revision where turn > 1)", "revision", "parent")
@@ -323,10 +389,12 @@ def revision_get_partition(v):
     return paging.get_partition(v("revision").select("id", "seconds"), "id", 3, 4, as_hex=True)[0]
 
 
-@query("select id, name, target from v_release where name like '%a%'", "release")
+@query("select s.id, s.name, s.target, " + _SHOWN.format("(select r.*, p.fullname from v_release r join part on r.id = sha1('rel' || p_partkey) join v_person p on p.id = 1 + p_partkey % 150)"), "release", "person", "display")
 def release_get(v):
-    r = v("release")
-    return revision.release_get(r.where("name like '%a%'").select("id", F.lit(1).alias("ord")), r).select("id", "name", "target")
+    numbers = v("part").selectExpr("sha1('rel' || p_partkey) as id", "p_partkey")
+    r = _signed(v("release").join(numbers, "id"), v, "p_partkey")
+    rows = revision.release_get(r.select("id", F.lit(1).alias("ord")), r, v("display"))
+    return rows.select("id", "name", "target", F.col("author.fullname").alias("author"))
 
 
 @query("select distinct id, name from v_release r where not exists (select 1 from v_release o where o.id = r.id and o.name < 'm')", "release")
@@ -350,27 +418,12 @@ def person_dedup(v):
     return revision.persons(v("person").select(text.parse_person(F.col("fullname")).alias("author")), ["author"])
 
 
-def _walk(kind: str):
-    def run(v):
-        spark = v("revision").sparkSession
-        r, p = v("revision"), v("parent")
-        root = r.where("conv_id % 3 = 0").orderBy(F.desc("turn"), "id").select("id").first()[0]
-        found = list(graph.walk(kind, root, r, p, path=["ASIA"], entries=v("entry")))
-        return spark.createDataFrame([(n, i) for n, i in enumerate(found)], "ord int, id string")
-
-    run.__name__ = f"revisions_walk_{kind}"
-    return run
-
-
-for _kind in graph.WALKS:
-    query(None)(_walk(_kind))
-
 # Snapshots
 
 
-@query("select snapshot_id, target_type, count(*) as n from v_branch where snapshot_id % 3 = 0 and not starts_with(name, 'a') group by 1, 2", "branch")
+@query("select snapshot_id, target_type, count(*) as n from v_branch where not starts_with(name, 'a') group by 1, 2", "branch")
 def snapshot_count_branches(v):
-    return snapshot.snapshot_count_branches(v("snapshot").where("id % 3 = 0"), v("branch"), exclude_prefix="a")
+    return snapshot.snapshot_count_branches(v("snapshot"), v("branch"), exclude_prefix="a")
 
 
 @query("select snapshot_id, name, target_type, target from v_branch where name >= 'c' and target_type in ('revision', 'alias') and contains(name, '1') and not starts_with(name, 'm')", "branch")
@@ -385,12 +438,12 @@ def snapshot_get_branches_page(v):
 
 
 @query(
-    "select b.snapshot_id, b.name, case when b.target_type = 'alias' then case when t.target_type = 'alias' then null else t.target_type end else b.target_type end as target_type, case when b.target_type = 'alias' then case when t.target_type = 'alias' then null else t.target end else b.target end as target, case when b.target_type = 'alias' then case when t.target_type = 'alias' and b.target <> b.name then 3 else 2 end else 1 end as names from v_branch b left join v_branch t on t.snapshot_id = b.snapshot_id and t.name = b.target and b.target_type = 'alias' where b.snapshot_id % 50 = 0",
+    "select b.snapshot_id, b.name, case when b.target_type = 'alias' then case when t.target_type = 'alias' then null else t.target_type end else b.target_type end as target_type, case when b.target_type = 'alias' then case when t.target_type = 'alias' then null else t.target end else b.target end as target, case when b.target_type = 'alias' then case when t.target_type = 'alias' and b.target <> b.name then 3 else 2 end else 1 end as names from v_branch b left join v_branch t on t.snapshot_id = b.snapshot_id and t.name = b.target and b.target_type = 'alias'",
     "branch",
 )
 def snapshot_branch_get_by_name(v):
     b = v("branch")
-    asked = b.where("snapshot_id % 50 = 0").select(F.struct("snapshot_id", "name").alias("ord"), "snapshot_id", "name")
+    asked = b.select(F.struct("snapshot_id", "name").alias("ord"), "snapshot_id", "name")
     found = snapshot.snapshot_branch_get_by_name(asked, b)
     return found.select("ord.snapshot_id", "ord.name", "target_type", "target", F.size("aliases_followed").alias("names"))
 
@@ -401,11 +454,11 @@ def snapshot_add(v):
     return snapshot.snapshot_add(b, v("snapshot").where("id % 4 <> 1"))[1]
 
 
-_HASHED = "hashed as (select sha1(cast(snapshot_id % 50 as varchar)) as snapshot_id, name || snapshot_id as name, target_type, target from v_branch where snapshot_id < 200)"
+_HASHED = "hashed as (select sha1(cast(snapshot_id % 50 as varchar)) as snapshot_id, name || snapshot_id as name, target_type, target from v_branch)"
 
 
 def _hashed(v):
-    return v("branch").where("snapshot_id < 200").selectExpr("sha1(cast(snapshot_id % 50 as string)) as snapshot_id", "name || snapshot_id as name", "target_type", "target")
+    return v("branch").selectExpr("sha1(cast(snapshot_id % 50 as string)) as snapshot_id", "name || snapshot_id as name", "target_type", "target")
 
 
 @query(
@@ -432,9 +485,9 @@ def origin_add(v):
     return origin.origin_add(v("pages"), v("pages").where("page_id % 4 = 0").select("url"))
 
 
-@query("select url, exists (select 1 from v_origin o where o.url = a.url) as known from (select url from pages where page_id % 3 = 0 union select 'http://nowhere/' || page_id from pages) a", "origin")
+@query("select url, exists (select 1 from v_origin o where o.url = a.url) as known from (select url from pages union select 'http://nowhere/' || page_id from pages) a", "origin")
 def origin_get(v):
-    asked = v("pages").where("page_id % 3 = 0").select("url").union(v("pages").selectExpr("'http://nowhere/' || page_id")).distinct()
+    asked = v("pages").select("url").union(v("pages").selectExpr("'http://nowhere/' || page_id")).distinct()
     return origin.origin_get(asked, v("origin"))
 
 
@@ -498,9 +551,9 @@ def origin_visit_get(v):
     return origin.origin_visit_get(v("visit"), "https://archive.example/u1", 4, 9, True)[0].select("origin", "visit", micros("date"), "type")
 
 
-@query("select origin, visit, epoch_us(date) as date from v_visit where visit % 3 = 0", "visit")
+@query("select origin, visit, epoch_us(date) as date from v_visit", "visit")
 def origin_visit_get_by(v):
-    return origin.origin_visit_get_by(v("visit").where("visit % 3 = 0").select("origin", "visit"), v("visit")).select("origin", "visit", micros("date"))
+    return origin.origin_visit_get_by(v("visit").select("origin", "visit"), v("visit")).select("origin", "visit", micros("date"))
 
 
 @query(
@@ -525,9 +578,9 @@ def origin_visit_status_get(v):
     return paging.page_from(rows, ["date"], 5)[0].select("origin", micros("date"), "status")
 
 
-@query(None)
+@query("select origin, visit, epoch_us(date) as date, type, status from v_status where type = 'git' and status = 'full' and date >= timestamp '2024-01-10 00:00:00' order by sha1(origin || '/' || visit || '/' || epoch_us(date) || '/3'), origin, visit, date limit 1", "status")
 def origin_visit_status_get_random(v):
-    return origin.origin_visit_status_get_random(v("status"), "git", "2024-01-10", 3)
+    return origin.origin_visit_status_get_random(v("status"), "git", "2024-01-10", 3).select("origin", "visit", micros("date"), "type", "status")
 
 
 # External ids and metadata
@@ -545,9 +598,9 @@ def extid_get_from_extid(v):
     return metadata.extid_get_from_extid(e.where("extid like '%e%'").select("extid_type", "extid"), e, version=2).select("extid", "target")
 
 
-@query("select e.target, e.extid, e.extid_version from v_extid e where e.target in (select sha1(html) from pages where page_id % 5 = 0) and e.extid_version = 0", "extid")
+@query("select e.target, e.extid, e.extid_version from v_extid e where e.target in (select sha1(html) from pages) and e.extid_version = 0", "extid")
 def extid_get_from_target(v):
-    asked = v("pages").where("page_id % 5 = 0").select(F.lit("content").alias("target_type"), F.sha1("html").alias("target")).distinct()
+    asked = v("pages").select(F.lit("content").alias("target_type"), F.sha1("html").alias("target")).distinct()
     return metadata.extid_get_from_target(asked, v("extid"), "url", 0).select("target", "extid", "extid_version")
 
 
@@ -576,11 +629,11 @@ def raw_extrinsic_metadata_get_authorities(v):
     return metadata.raw_extrinsic_metadata_get_authorities(m.select("target").distinct(), m, ["authority"])
 
 
-@query("select target_type, count(*) as n from (select distinct id, 'content' as target_type from v_metadata where payload < 3) group by 1", "metadata")
+@query("select distinct id, authority, fetcher, payload from v_metadata m where not exists (select 1 from v_metadata o where o.id = m.id and o.payload = 3)", "metadata")
 def raw_extrinsic_metadata_add(v):
     m = v("metadata").select("id", F.lit("content").alias("target_type"), F.lit("a").alias("authority_type"), F.col("authority").alias("authority_url"), F.lit("f").alias("fetcher_name"), F.col("fetcher").alias("fetcher_version"), "payload")
     known = m.select("authority_type", "authority_url").distinct(), m.select("fetcher_name", "fetcher_version").distinct()
-    return metadata.raw_extrinsic_metadata_add(m, m.where("payload = 3"), *known)[1]
+    return metadata.raw_extrinsic_metadata_add(m, m.where("payload = 3"), *known)[0].select("id", F.col("authority_url").alias("authority"), F.col("fetcher_version").alias("fetcher"), "payload")
 
 
 @query("select distinct source as url from documents where source not in ('src0', 'src1')")
@@ -611,10 +664,23 @@ def object_find_recent_references(v):
     return references.object_find_recent_references(e.select("target_type", "target"), e, 3)
 
 
-@query("select iso_year, iso_week, count(*) as n from (select cast(isoyear(ts) as integer) as iso_year, cast(week(ts) as integer) as iso_week from events) group by 1, 2")
+@query(f"select source_type, source, target_type, target, 2024 as iso_year, 18 as iso_week from (select * from ({_EDGES}) e where source_type <> 'directory')", *_VIEWS)
+def object_references_add(v):
+    e, day = _edges(v), datetime.date(2024, 5, 1)
+    before = references.object_references_add(e.where("source_type = 'directory'"), None, day)
+    rows = references.object_references_add(e.union(e), before, day, {(2024, 18)})
+    return rows.select("source_type", "source", "target_type", "target", "iso_year", "iso_week")
+
+
+@query("select iso_year, iso_week, bool_and(weekday = 1) as from_monday, min(first) <= min(day) and max(day) < min(last) as inside from (select day, cast(isoyear(day) as integer) as iso_year, cast(week(day) as integer) as iso_week, date_trunc('week', day) as first, date_trunc('week', day) + interval 7 day as last, isodow(date_trunc('week', day)) as weekday from (select distinct cast(ts as date) as day from events)) x group by 1, 2")
 def object_reference_weeks(v):
-    rows = v("events").selectExpr("cast(extract(yearofweek from ts) as int) iso_year", "cast(extract(week from ts) as int) iso_week")
-    return rows.groupBy("iso_year", "iso_week").agg(F.count("*").alias("n"))
+    spark = v("events").sparkSession
+    low, high = v("events").agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    weeks = references.weeks_between(low, high)
+    bounds = spark.createDataFrame([(*w, *references.week_bounds(*w)) for w in weeks], "iso_year int, iso_week int, first date, last date")
+    days = v("events").select(F.to_date("ts").alias("day")).distinct()
+    found = days.join(bounds, (F.col("day") >= F.col("first")) & (F.col("day") < F.col("last")))
+    return found.groupBy("iso_year", "iso_week").agg(F.bool_and(F.weekday("first") == 0).alias("from_monday"), ((F.min("first") <= F.min("day")) & (F.max("day") < F.min("last"))).alias("inside"))
 
 
 # Policy
@@ -673,19 +739,43 @@ def stat_counters(v):
     return lifecycle.stat_counters({n: v(n) for n in ("content", "origin", "revision")})
 
 
-@query(None)
+@query("select cast(cast('0x' || substr(sha1(sha1), 1, 8) as bigint) % 16 as integer) as bucket, count(*) as value from v_content group by 1", "content")
 def bucketed_counters(v):
     return lifecycle.bucketed_counters(v("content"), "sha1", 16)
 
 
+@query("select count(*) as ranges, bool_and(n = 1) as each_in_one from (select doc_id, count(*) as n from v_content group by 1) x", "content")
+def backfill_ranges(v):
+    c = v("content").select("doc_id", "sha1").distinct()
+    low, high = c.agg(F.min("doc_id"), F.max("doc_id")).first()
+    by_int = lifecycle.in_ranges(c, "doc_id", lifecycle.int_ranges(low, high + 1, 37)).groupBy("doc_id").count()
+    by_hash = lifecycle.in_ranges(c, "sha1", lifecycle.byte_ranges(5)).groupBy("doc_id").agg(F.count("*").alias("again"))
+    return by_int.join(by_hash, "doc_id", "full").agg(F.count("*").alias("ranges"), F.bool_and((F.col("count") == 1) & (F.col("again") == 1)).alias("each_in_one"))
+
+
+def _deleted(v):
+    asked = v("origin").where("url like '%u1%'").select(F.lit("origin").alias("object_type"), F.col("url").alias("id")).union(v("revision").where("turn = 0").select(F.lit("revision"), "id"))
+    tables = {"origin": (v("origin"), "url"), "origin.visit": (v("visit"), "origin"), "origin.status": (v("status"), "origin"), "revision": (v("revision"), "id"), "revision.parent": (v("parent"), "id")}
+    return lifecycle.object_delete(asked, tables)
+
+
 @query(
     "select 'origin' as \"table\", count(*) as removed from v_origin where url like '%u1%' union all select 'origin.visit', count(*) from v_visit where origin like '%u1%' union all select 'origin.status', count(*) from v_status where origin like '%u1%' union all select 'revision', count(*) from v_revision where turn = 0 union all select 'revision.parent', count(*) from v_parent p join v_revision r on r.id = p.id where r.turn = 0",
     "origin", "visit", "status", "revision", "parent",
 )
+def object_delete_summary(v):
+    return _deleted(v)[1]
+
+
+@query(
+    "select 'origin' as object_type, url as id, null::varchar as more from v_origin where url not like '%u1%' union all select 'visit', origin, cast(visit as varchar) from v_visit where origin not like '%u1%' union all select 'status', origin, cast(epoch_us(date) as varchar) from v_status where origin not like '%u1%' union all select 'revision', id, null from v_revision where turn <> 0 union all select 'parent', id, parent_id from v_parent where id not in (select id from v_revision where turn = 0)",
+    "origin", "visit", "status", "revision", "parent",
+)
 def object_delete(v):
-    asked = v("origin").where("url like '%u1%'").select(F.lit("origin").alias("object_type"), F.col("url").alias("id")).union(v("revision").where("turn = 0").select(F.lit("revision"), "id"))
-    tables = {"origin": (v("origin"), "url"), "origin.visit": (v("visit"), "origin"), "origin.status": (v("status"), "origin"), "revision": (v("revision"), "id"), "revision.parent": (v("parent"), "id")}
-    return lifecycle.object_delete(asked, tables)[1]
+    kept, none = _deleted(v)[0], F.lit(None).cast("string")
+    rows = kept["origin"].select(F.lit("origin").alias("object_type"), F.col("url").alias("id"), none.alias("more"))
+    rows = rows.union(kept["origin.visit"].select(F.lit("visit"), "origin", F.col("visit").cast("string"))).union(kept["origin.status"].select(F.lit("status"), "origin", F.unix_micros("date").cast("string")))
+    return rows.union(kept["revision"].select(F.lit("revision"), "id", none)).union(kept["revision.parent"].select(F.lit("parent"), "id", "parent_id"))
 
 
 @query("select doc_id, 'obj:1:cnt:' || sha1_git as identifier from v_content", "content")
@@ -693,16 +783,16 @@ def identifiers(v):
     return v("content").select("doc_id", identity.identifier("content", F.col("sha1_git")).alias("identifier"))
 
 
-@query("select count(distinct sha1) as n, 64 as width from v_content", "content")
+@query(None)
 def content_blake2s(v):
-    hashes = v("documents").select(identity.blake2s256(F.col("text").cast("binary")).alias("h")).distinct()
-    return hashes.agg(F.count("*").alias("n"), F.max(F.length("h")).alias("width"))
+    return v("documents").select("doc_id", identity.blake2s256(F.col("text").cast("binary")).alias("blake2s256"))
 
 
-@query("select object_type, count(*) as n from (select 'origin' as object_type from v_origin union all select 'revision' from v_revision) group by 1", "origin", "revision")
+@query("select 'origin' as object_type, url as k, url || ' ' || sha1 as v from v_origin union all select 'extid', extid, extid_type || ' ' || extid_version || ' ' || target_type || ' ' || target from v_extid", "origin", "extid")
 def journal_messages(v):
-    logged = journal.to_log("origin", v("origin")).union(journal.to_log("revision", v("revision")))
-    return logged.groupBy("object_type").agg(F.count("*").alias("n"))
+    get = lambda c, *names: F.concat_ws(" ", *[F.get_json_object(c, f"$.{n}") for n in names])
+    o, e = journal.to_log("origin", v("origin")), journal.to_log("extid", v("extid"))
+    return o.select("object_type", get("key", "url").alias("k"), get("value", "url", "sha1").alias("v")).union(e.select("object_type", get("key", "extid"), get("value", "extid_type", "extid_version", "target_type", "target")))
 
 
 @query("select doc_id, text from (select *, row_number() over (partition by sha1(text) order by doc_id desc) as n from documents) where n = 1")
@@ -796,9 +886,9 @@ def buffer_batches(v):
     return journal.buffer_batches(v("events").select("user_id", "event_id"), "user_id", "event_id", 10)
 
 
-@query("select snapshot_id, name, target_type, target from v_branch where snapshot_id % 10 = 3", "branch")
+@query("select snapshot_id, name, target_type, target from v_branch", "branch")
 def snapshot_get_all_branches(v):
-    return snapshot.snapshot_branches(v("branch").where("snapshot_id % 10 = 3"))
+    return snapshot.snapshot_branches(v("branch"))
 
 
 @query(
@@ -811,11 +901,11 @@ def snapshot_id_from_revision(v):
     return snapshot.snapshot_id_from_revision(asked, s, b)
 
 
-@query("select b.snapshot_id, b.name, case when b.target_type = 'revision' then 'revision' end as target_type from v_branch b where b.snapshot_id % 100 = 1 and coalesce(b.target_type, '') <> 'alias'", "branch")
+@query("select b.snapshot_id, b.name, case when coalesce(b.target_type, '') <> 'alias' then b.target_type when t.target_type <> 'alias' then t.target_type end as target_type, case when coalesce(b.target_type, '') <> 'alias' then b.target when t.target_type <> 'alias' then t.target end as target from v_branch b left join v_branch t on t.snapshot_id = b.snapshot_id and t.name = b.target and b.target_type = 'alias'", "branch")
 def snapshot_resolve_alias(v):
     b = v("branch")
-    asked = b.where("snapshot_id % 100 = 1 and coalesce(target_type, '') <> 'alias'").select(F.struct("snapshot_id", "name").alias("ord"), "snapshot_id", "name")
-    return snapshot.snapshot_resolve_alias(asked, b).select("ord.snapshot_id", "ord.name", "target_type")
+    asked = b.select(F.struct("snapshot_id", "name").alias("ord"), "snapshot_id", "name")
+    return snapshot.snapshot_resolve_alias(asked, b).select("ord.snapshot_id", "ord.name", "target_type", "target")
 
 
 @query("select url_match, request, state from v_rule where request = 10", "rule")
@@ -831,5 +921,53 @@ def masking_iterate(v):
 @query("select user_id, event_id, event_type <> 'error' as good from events")
 def tenacious_split(v):
     rows = v("events").select("user_id", "event_id", "event_type")
-    good, bad = journal.tenacious(rows, F.col("event_type") != "error", 1.0)
+    good, bad = journal.tenacious(rows, F.col("event_type") != "error", 0.9, ["event_id"], 200)
     return good.select("user_id", "event_id", F.lit(True).alias("good")).union(bad.select("user_id", "event_id", F.lit(False)))
+
+
+@query("select user_id, count(*) filter (event_type <> 'error') as written, count(*) filter (event_type = 'error') as errors from events group by 1")
+def tenacious_errors(v):
+    return journal.error_counts(v("events"), F.col("event_type") != "error", "user_id")
+
+
+@query("select distinct directory_id as id, name, type, target, perms from v_entry e where directory_id not in (select directory_id from v_entry where name < 'M')", "entry")
+def directory_add(v):
+    e = v("entry")
+    new = e.groupBy(F.col("directory_id").alias("id")).agg(F.lit(None).cast("binary").alias("raw_manifest"), F.collect_list(F.struct("name", "type", "target", "perms")).alias("entries"))
+    known = e.where("name < 'M'").select(F.col("directory_id").alias("id")).distinct()
+    return directory.directory_add(new, known)[1].withColumnRenamed("directory_id", "id")
+
+
+@query("select distinct directory_id as id, 'tree ' || directory_id as raw_manifest from v_entry where directory_id like 'n%'", "entry")
+def directory_get_raw_manifest(v):
+    dirs = v("entry").select(F.col("directory_id").alias("id")).distinct().withColumn("raw_manifest", F.concat(F.lit("tree "), "id"))
+    return directory.directory_get_raw_manifest(dirs.where("id like 'n%'"), dirs)
+
+
+@query(None)
+def journal_backfill_and_replay(v):
+    """Origins and external ids logged anew from one archive and replayed into another, twice: what the second one holds."""
+    spark = v("origin").sparkSession
+    at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    old, new = Archive(spark, f"{at}/old"), Archive(spark, f"{at}/new")
+    old.append("origin", v("origin").select("url", F.unhex("sha1").alias("sha1")))
+    old.append("extid", v("extid").select("extid_type", F.col("extid").cast("binary").alias("extid"), F.col("extid_version").cast("long"), "target_type", F.unhex("target").alias("target")).distinct())
+    journal.backfill(old, f"{at}/log", ("origin", "extid"))
+    for run in ("first", "second"):
+        journal.replay(new, f"{at}/log", f"{at}/{run}").awaitTermination()
+    return new.read("origin").select(F.lit("origin").alias("object_type"), F.col("url").alias("key")).union(new.read("extid").select(F.lit("extid"), F.col("extid").cast("string")))
+
+
+SQL["journal_backfill_and_replay"] = checking_sql("select 'origin' as object_type, url as key from v_origin union all select 'extid', extid from (select distinct extid_type, extid, extid_version, target_type, target from v_extid) x", "origin", "extid")
+
+
+def _directories(v):
+    return v("entry").groupBy("directory_id").agg(F.collect_list(F.struct(F.col("name").cast("binary").alias("name"), "type", F.unhex(F.sha1("target")).alias("target"), "perms")).alias("entries"))
+
+
+@query("select directory_id, directory_id < 'n' as valid from (select distinct directory_id from v_entry) x", "entry")
+def validate_directories(v):
+    """Each directory under the id that its manifest has, or under another one."""
+    rows = _directories(v).withColumn("id", F.unhex(identity.git_object_id("tree", identity.tree_manifest("entries"))))
+    wrong = F.unhex(F.sha1("directory_id"))
+    return identity.validate_objects("directory", rows.withColumn("id", F.when(F.col("directory_id") < "n", F.col("id")).otherwise(wrong))).select("directory_id", "valid")

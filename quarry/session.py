@@ -20,9 +20,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset a folder of this machine is made."""
+    """``spark.checkpoint.dir``; only where that is unset and all runs on this machine, a folder of it is made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("quarry.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -50,8 +50,27 @@ def test_versions_replace_whole_tables(spark, tmp_path):
 def test_collisions_stay_out_of_a_replay(spark, tmp_path):
     archive = filled(spark, f"file://{tmp_path}/a")
     clash = spark.createDataFrame([(H("a"), H("x"), b"y" * 32, b"z" * 32, 3, "visible", None), (H("n"), H("n"), b"n" * 32, b"n" * 32, 3, "visible", None)], TABLES["content"])
-    added = journal.insert_new(archive, "content", clash)
-    assert archive.read("content").count() == 2 and added is not None
+    reported = []
+    journal.insert_new(archive, "content", clash, lambda t, rows: reported.append((t, [(r.algo, bytes(r.hash)) for r in rows.collect()])))
+    assert archive.read("content").count() == 2 and reported == [("content_collision", [("sha1", H("a"))])]
+    other = spark.createDataFrame([(H("e"), H("f"), b"c" * 32, b"g" * 32, 3, "visible", None)], TABLES["content"])
+    journal.insert_new(archive, "content", other, lambda t, rows: reported.append((t, [(r.algo, bytes(r.hash)) for r in rows.collect()])))
+    assert archive.read("content").count() == 2 and reported[-1] == ("content_collision", [("sha256", b"c" * 32)])
+    again = archive.read("content")
+    journal.insert_new(archive, "content", again, lambda t, rows: reported.append(rows.count()))
+    assert reported[-1] == 0 and archive.read("content").count() == 2
+
+
+def test_repeated_names_of_a_directory_survive_a_replay(spark, tmp_path):
+    from quarry.operators.directory import directory_get_many
+
+    archive = Archive(spark, f"file://{tmp_path}/a")
+    archive.append("directory", spark.createDataFrame([(H("d"), None)], TABLES["directory"]))
+    archive.append("directory_entry", spark.createDataFrame([(H("d"), b"n", "file", H("x"), 1), (H("d"), b"n", "file", H("y"), 1)], TABLES["directory_entry"]))
+    journal.backfill(archive, f"file://{tmp_path}/log")
+    new = Archive(spark, f"file://{tmp_path}/new")
+    journal.replay(new, f"file://{tmp_path}/log", f"file://{tmp_path}/c").awaitTermination()
+    assert [r.is_corrupt for r in directory_get_many(new.read("directory").select("id"), new.read("directory"), new.read("directory_entry")).collect()] == [True]
 
 
 def test_bad_rows_are_set_aside_until_there_are_too_many(spark):
@@ -60,6 +79,13 @@ def test_bad_rows_are_set_aside_until_there_are_too_many(spark):
     assert (good.count(), bad.count()) == (7, 3)
     with pytest.raises(ArgumentError):
         journal.tenacious(df, F.col("ok"), 0.1)
+    late = spark.range(100).selectExpr("id", "id < 90 as ok")
+    assert journal.tenacious(late, F.col("ok"), 0.5)[1].count() == 10
+    with pytest.raises(ArgumentError):
+        journal.tenacious(late, F.col("ok"), 0.5, ["id"], 10)
+    assert journal.tenacious(late, F.col("ok"), 0.5, ["id"], 40)[0].count() == 90
+    counts = journal.error_counts(late.withColumn("object_type", F.lit("x")), F.col("ok")).first()
+    assert tuple(counts) == ("x", 90, 10)
 
 
 def test_retries():
@@ -72,6 +98,8 @@ def test_retries():
         return "done"
 
     assert journal.with_retries(shaky, wait=0) == "done" and len(tries) == 3
+    tries.clear()
+    assert journal.with_retries(shaky, wait=0, busy=lambda e: isinstance(e, OSError), busy_wait=0.01) == "done"
     with pytest.raises(OSError):
         journal.with_retries(lambda: (_ for _ in ()).throw(OSError()), wait=0)
     with pytest.raises(ArgumentError):
@@ -96,8 +124,8 @@ def test_contents_come_with_their_bytes(spark, tmp_path):
 
     schema = TABLES["content"].fields + TABLES["content_data"].fields[1:]
     new = spark.createDataFrame([hashed(b"one"), hashed(b"one"), hashed(b"two!"), hashed(b"bad", b"dab")], type(TABLES["content"])(schema))
-    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 2, "content:add:bytes": 7}
-    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 0, "content:add:bytes": 0}
+    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 2, "content:add:bytes": 7, "content:add:collision": 0}
+    assert journal.ingest_contents(archive, new, f"file://{tmp_path}/log") == {"content:add": 0, "content:add:bytes": 0, "content:add:collision": 0}
     assert sorted(bytes(r.data) for r in archive.read("content_data").collect()) == [b"one", b"two!"]
     assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
 
@@ -121,4 +149,7 @@ def test_reference_weeks_open_and_close(spark, tmp_path):
 def test_buffers_flush_by_count_and_size(spark):
     df = spark.createDataFrame([("a", i, s) for i, s in enumerate([1, 1, 1, 9, 1, 1])] + [("b", 0, 1)], "k string, n int, size int")
     got = {(r.k, r.n): r.batch for r in journal.buffer_batches(df, "k", "n", 4, "size", 10).collect()}
-    assert [got["a", i] for i in range(6)] == [0, 0, 0, 0, 1, 1] and got["b", 0] == 0
+    # the fifth row ends the rows of a batch and passes ten of size at once
+    assert [got["a", i] for i in range(6)] == [0, 0, 0, 0, 2, 2] and got["b", 0] == 0
+    by_type = journal.buffer_batches(df, "k", "n", {"a": 2, None: 9}).collect()
+    assert {(r.k, r.n): r.batch for r in by_type} == {("a", i): i // 2 for i in range(6)} | {("b", 0): 0}

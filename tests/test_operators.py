@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.errors import ArgumentError, BlockedOrigin, HashCollision, MaskedObject, UnknownObject
-from quarry.operators import content, diff, graph, lifecycle, membership, metadata, migration, origin, policy, references, snapshot
+from quarry.operators import content, diff, directory, graph, lifecycle, membership, metadata, migration, origin, policy, references, snapshot
 from quarry.plans import paging, pipeline
 
 ENTRY = "directory_id string, name string, type string, target string, perms int"
@@ -60,22 +60,47 @@ GRAPH = {"f": ["d", "e"], "e": ["c"], "d": ["b"], "c": ["a"], "b": ["a"], "a": [
 TIMES = {"f": 60, "e": 50, "d": 40, "c": 45, "b": 20, "a": 10}
 
 
-def test_walks():
-    nodes = {k: (TIMES[k], v) for k, v in GRAPH.items()}
-    order = lambda kind, **o: "".join(graph.Walk(kind, nodes, "f", **o))
-    assert order("committer_date") == "fecdba"
-    assert order("bfs") == "fdebca"
-    assert order("dfs") == "fdbaec"
-    assert order("dfs_post") == "fecadb"
-    first = graph.Walk("bfs", nodes, "f", max_revs=2)
-    assert "".join(first) == "fd"
-    state = first.export_state() | {"count": 0}
-    assert "".join(graph.Walk("bfs", nodes, "f", state=state)) == "ebca"
-    broken = graph.Walk("dfs", {k: v for k, v in nodes.items() if k != "c"}, "f")
-    assert "".join(broken) == "fdbae" and broken.truncated
-    assert order("path", paths={"f": 1, "e": 1, "c": 2, "d": 3}) == "ec"
-    with pytest.raises(ArgumentError):
-        graph.Walk("sideways", nodes, "f")
+def graph_tables(spark):
+    revisions = spark.createDataFrame([(k, TIMES[k], f"tree {k}") for k in GRAPH], "id string, seconds int, directory string")
+    parents = spark.createDataFrame([(k, n, p) for k, v in GRAPH.items() for n, p in enumerate(v)], "id string, parent_rank int, parent_id string")
+    return revisions, parents
+
+
+def test_orders_of_a_history(spark):
+    revisions, parents = graph_tables(spark)
+    root = spark.createDataFrame([("f",)], "root string")
+    order = lambda df: "".join(r.id for r in df.collect())
+    assert order(graph.by_date(root, revisions, parents)) == "fecdba"
+    assert order(graph.by_date(root, revisions, parents, limit=2)) == "fe"
+    assert order(graph.breadth_first(root, revisions, parents)) == "fdebca"
+    assert order(graph.breadth_first(root, revisions.where("id <> 'c'"), parents)) == "fdeba"
+
+
+def test_history_of_a_path(spark):
+    revisions, parents = graph_tables(spark)
+    root = spark.createDataFrame([("f",)], "root string")
+
+    def changed(targets):
+        entries = spark.createDataFrame([(f"tree {k}", "x", "file", str(v), 0) for k, v in targets.items()], "directory_id string, name string, type string, target string, perms int")
+        return {(r.id, r.depth) for r in graph.path_history(root, ["x"], revisions, parents, entries).collect()}
+
+    # f took what e has, so d and b are not followed; c is where the path began
+    assert changed({"f": 1, "e": 1, "c": 2, "d": 3, "b": 3}) == {("e", 1), ("c", 2)}
+    assert changed(dict.fromkeys(GRAPH, 7)) == {("a", 3)}
+    assert changed({}) == set()
+
+
+def test_closures_of_several_roots_and_of_long_lines(spark):
+    revisions, parents = graph_tables(spark)
+    roots = spark.createDataFrame([("d",), ("e",), ("e",)], "root string")
+    assert {(r.id, r.depth) for r in graph.revision_log(roots, revisions, parents).collect()} == {("d", 0), ("e", 0), ("b", 1), ("c", 1), ("a", 2)}
+    each = graph.revision_log(roots, revisions, parents, per_root=True).select("root", "id", "depth").collect()
+    assert sorted(map(tuple, each)) == [("d", "a", 2), ("d", "b", 1), ("d", "d", 0), ("e", "a", 2), ("e", "c", 1), ("e", "e", 0)]
+    line = spark.range(1, 700).selectExpr("cast(id as int) as id", "0 as parent_rank", "cast(id - 1 as int) as parent_id")
+    found = graph.ancestors(spark.createDataFrame([(699,)], "root int"), line)
+    assert found.where("depth <> 699 - id").count() == 0 and found.count() == 700
+    loop = spark.createDataFrame([(1, 0, 2), (2, 0, 3), (3, 0, 1)], "id int, parent_rank int, parent_id int")
+    assert {(r.id, r.depth) for r in graph.ancestors(spark.createDataFrame([(1,)], "root int"), loop).collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
 @settings(max_examples=5, deadline=None)
@@ -135,14 +160,19 @@ def test_pages_and_partitions(spark):
     found, token = paging.page_from(df, ["id"], 4, (3,))
     assert [r.id for r in found.collect()] == [3, 4, 5, 6] and token == (7,)
     assert paging.page(df, ["id"], 10)[1] is None and paging.page(df, ["id"], 3, (5,), descending=True)[0].first().id == 4
-    bounds = [paging.partition_bounds(i, 16, 2) for i in range(16)]
-    assert bounds[0] == (b"\0\0", b"\x10\0") and bounds[-1] == (b"\xf0\0", None) and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
-    for bad in ((0, 3), (4, 4), (-1, 4)):
+    assert [paging.leading_digits(i, 16) for i in (0, 15)] == [[0], [15]] and paging.leading_digits(1, 32) == [0, 8] and paging.leading_digits(0, 1) == []
+    assert paging.leading_digits(5, 512, 8) == [2, 128]
+    for bad in ((0, 3), (4, 4), (-1, 4), (0, 0)):
         with pytest.raises(ArgumentError):
-            paging.partition_bounds(*bad)
+            paging.leading_digits(*bad)
     hashes = spark.range(64).selectExpr("unhex(sha1(cast(id as string))) as id")
-    parts = [paging.get_partition(hashes, "id", i, 4)[0].count() for i in range(4)]
-    assert sum(parts) == 64 and paging.random_row(hashes, "id", 5).count() == 1
+    for n in (1, 4, 32):
+        parts = [{bytes(r.id) for r in paging.get_partition(hashes, "id", i, n)[0].collect()} for i in range(n)]
+        assert all(min(b) > max(a) for a, b in zip([p for p in parts if p], [p for p in parts if p][1:], strict=False))
+        assert sum(map(len, parts)) == 64
+        text = hashes.selectExpr("lower(hex(id)) as id")
+        assert [{bytes.fromhex(r.id) for r in paging.get_partition(text, "id", i, n, as_hex=True)[0].collect()} for i in range(n)] == parts
+    assert paging.random_row(hashes, "id", 5).count() == 1
 
 
 def test_policies(spark):
@@ -241,3 +271,44 @@ def test_content_find_directory_raises_where_roots_are_too_far(spark):
     assert [tuple(r) for r in content.content_find_directory(ids, entries, max_depth=5).collect()] == [("c", "d0", "n0/n1/n2/n3/f")]
     with pytest.raises(RecursionError):
         content.content_find_directory(ids, entries, max_depth=4)
+
+
+def test_rows_are_numbered_over_all_tasks(spark):
+    df = spark.range(300).selectExpr("id", "id % 7 as k", "cast(id % 3 as int) as size").repartition(5)
+    got = paging.numbered(df, ["k", "id"], total="size").orderBy("_at").collect()
+    assert [r["_at"] for r in got] == list(range(300)) and [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+    assert [r["_at_sum"] for r in got] == [sum(x.size for x in got[:i]) for i in range(300)]
+    assert paging.numbered(df.limit(0), ["id"]).count() == 0
+
+
+def test_adds_keep_the_same_row_whatever_the_order(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "z"), (None, "y"), (2, None)], "id int, x string")
+    for n in (1, 4):
+        assert sorted(map(tuple, content.first_rows(df.repartition(n), ["id"]).collect()), key=str) == [(1, "a"), (2, None), (None, "y")]
+    table = spark.createDataFrame([("s", 0)], "sha1 string, status int")
+    updates = spark.createDataFrame([("s", 1), ("s", 3), ("s", 2)], "sha1 string, status int")
+    assert content.content_update(table, updates, ["status"]).first().status == 3
+
+
+def test_collisions_are_added_counted_and_named(spark):
+    from quarry.errors import HashCollision
+
+    schema = "sha1 string, sha1_git string, sha256 string, length int"
+    old = spark.createDataFrame([("a", "b", "c", 1), ("k", "k", "k", 1)], schema)
+    new = spark.createDataFrame([("a", "x", "y", 2), ("n", "n", "n", 3), ("k", "k", "k", 1), ("p", "q", "r", 4), ("o", "q", "z", 5)], schema)
+    rows_, summary = content.content_add(new, old)
+    assert sorted(r.sha1 for r in rows_.collect()) == ["a", "n", "o", "p"]
+    assert tuple(summary.first()) == (4, 14, 3)
+    assert sorted((r.sha1, r.algo, r.hash) for r in content.collisions(new, old).collect()) == [("a", "sha1", "a"), ("o", "sha1_git", "q"), ("p", "sha1_git", "q")]
+    with pytest.raises(HashCollision) as error:
+        content.content_add(new, old, on_collision="raise")
+    assert sorted(error.value.hashes) == [("sha1", "a"), ("sha1_git", "q")]
+    assert content.content_add(old, old, on_collision="raise")[0].count() == 0
+
+
+def test_iteration_skips_what_is_below_a_path(spark):
+    entries = spark.createDataFrame([("r", "a", "dir", "A", 0), ("r", "b", "file", "f", 0), ("A", "x", "dir", "X", 0), ("X", "y", "file", "g", 0)], "directory_id string, name string, type string, target string, perms int")
+    root = spark.createDataFrame([("r",)], "root string")
+    assert [(r.path, r.ord) for r in directory.directory_iterate(root, entries).orderBy("ord").collect()] == [("a", 1), ("a/x", 2), ("a/x/y", 3), ("b", 4)]
+    skip = spark.createDataFrame([("r", "a/x")], "root string, path string")
+    assert [(r.path, r.ord) for r in directory.directory_iterate(root, entries, skip).orderBy("ord").collect()] == [("a", 1), ("a/x", 2), ("b", 3)]
