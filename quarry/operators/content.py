@@ -127,10 +127,10 @@ def content_find_directory(ids: DataFrame, entries: DataFrame, max_depth: int =
     up, _ = cut(up, "parents")
     done = []
     for _ in range(max_depth):
-        climbed, _ = cut(now.join(up, now["directory_id"] == up["target"], "left").select("id", "directory_id", "path", "parent", "step"), "climb")
+        climbed, on = cut(now.join(up, now["directory_id"] == up["target"], "left").select("id", "directory_id", "path", "parent", "step"), "climb", "parent is not null")
         done.append(climbed.where("parent is null").select("id", "directory_id", "path"))
         rising = climbed.where("parent is not null")
-        if rising.isEmpty():
+        if not on:
             return reduce(DataFrame.unionByName, done)
         now = rising.select("id", F.col("parent").alias("directory_id"), F.concat("step", slash, "path").alias("path"))
     raise RecursionError(f"directories nest deeper than {max_depth}")

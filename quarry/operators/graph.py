@@ -36,8 +36,7 @@ def ancestors(roots: DataFrame, parents: DataFrame, per_root: bool = False) -> D
         step = seen.where("fresh").join(hops, F.col("id") == F.col("_from")).select(*[F.col("_to").alias(k) if k == "id" else k for k in keys], (F.col("depth") + F.col("_far")).alias("depth"))
         old = seen.select(*keys, "depth", F.col("depth").alias("was")).unionByName(step.withColumn("was", F.lit(None).cast("long")))
         now = old.groupBy(*keys).agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
-        seen, _ = cut(now.select(*keys, "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")), "seen")
-        n = seen.where("fresh").count()
+        seen, n = cut(now.select(*keys, "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")), "seen", "fresh")
     return seen.select(*keys, F.col("depth").cast("int"))
 
 

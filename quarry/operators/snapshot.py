@@ -20,11 +20,31 @@ def snapshot_add(new: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFr
     return rows.select("id"), branches
 
 
+def after_prefix(prefix):
+    """The least string (or bytes) after all that begin with ``prefix``; None if there is none."""
+    for k in range(len(prefix) - 1, -1, -1):
+        if isinstance(prefix, bytes | bytearray):
+            if prefix[k] < 0xFF:
+                return bytes(prefix[:k]) + bytes([prefix[k] + 1])
+        elif prefix[k] < "\U0010ffff":
+            # there are no characters between these two
+            return prefix[:k] + ("\ue000" if prefix[k] == "\ud7ff" else chr(ord(prefix[k]) + 1))
+    return None
+
+
+def _without_prefix(branches: DataFrame, prefix) -> DataFrame:
+    """Branches whose names don't begin so: two ranges, which files are skipped by."""
+    shown = lambda x: F.lit(bytearray(x) if isinstance(x, bytes) else x)
+    above = after_prefix(prefix)
+    outside = F.col("name") < shown(prefix)
+    return branches.where(outside if above is None else outside | (F.col("name") >= shown(above)))
+
+
 def snapshot_count_branches(ids: DataFrame, branches: DataFrame, exclude_prefix=None) -> DataFrame:
     """``(snapshot_id, target_type, n)``; a null type counts dangling branches."""
     rows = branches.join(ids.select(F.col("id").alias("snapshot_id")).distinct(), "snapshot_id", "left_semi")
     if exclude_prefix is not None:
-        rows = rows.where(~F.startswith("name", F.lit(exclude_prefix)))
+        rows = _without_prefix(rows, exclude_prefix)
     return rows.groupBy("snapshot_id", "target_type").agg(F.count("*").alias("n"))
 
 
@@ -37,7 +57,7 @@ def snapshot_branches(branches: DataFrame, start=None, target_types: list[str] |
     if include is not None:
         branches = branches.where(F.contains("name", F.lit(include)))
     if exclude_prefix is not None:
-        branches = branches.where(~F.startswith("name", F.lit(exclude_prefix)))
+        branches = _without_prefix(branches, exclude_prefix)
     return branches
 
 

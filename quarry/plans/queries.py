@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import identity, text
 from quarry.operators import content, diff, directory, graph, lifecycle, membership, metadata, migration, origin, policy, references, revision, snapshot
-from quarry.plans import paging
+from quarry.plans import paging, pipeline
 from quarry.session import shared_dir
 from quarry.sources.projections import checking_sql, view
 from quarry.sources.store import Archive
@@ -454,11 +454,11 @@ def snapshot_add(v):
     return snapshot.snapshot_add(b, v("snapshot").where("id % 4 <> 1"))[1]
 
 
-_HASHED = "hashed as (select sha1(cast(snapshot_id % 50 as varchar)) as snapshot_id, name || snapshot_id as name, target_type, target from v_branch)"
+_HASHED = "hashed as (select sha1(cast(snapshot_id % 5000 as varchar)) as snapshot_id, name || snapshot_id as name, target_type, target from v_branch)"
 
 
 def _hashed(v):
-    return v("branch").selectExpr("sha1(cast(snapshot_id % 50 as string)) as snapshot_id", "name || snapshot_id as name", "target_type", "target")
+    return v("branch").selectExpr("sha1(cast(snapshot_id % 5000 as string)) as snapshot_id", "name || snapshot_id as name", "target_type", "target")
 
 
 @query(
@@ -731,6 +731,42 @@ def origin_blocking_filter(v):
     return policy.blocked(v("pages").select("url").distinct(), v("rule"))[0]
 
 
+_REQUESTS = "requests as (select 'req' || r_regionkey as id, 'slug ' || r_name as slug, 'why' as reason from region)"
+
+
+def _requests(v):
+    return v("region").selectExpr("'req' || r_regionkey as id", "'slug ' || r_name as slug", "'why' as reason")
+
+
+@query("select id, slug, reason from requests where id <> 'req0'", recursive=_REQUESTS)
+def masking_request_create(v):
+    r = _requests(v)
+    return policy.request_create(r.where("id <> 'req0'"), r.where("id = 'req0'"))
+
+
+@query("select object_id, object_type, state, slug from v_mask m left join requests r on r.id = m.request", "mask", recursive=_REQUESTS)
+def masking_find_states(v):
+    return policy.find_states(v("mask"), v("mask"), _requests(v), ["object_id", "object_type"]).select("object_id", "object_type", "state", "slug")
+
+
+@query("select object_id, request, state from v_mask where request <> 'req1'", "mask")
+def masking_delete_states(v):
+    return policy.delete_states(v("mask"), "req1").select("object_id", "request", "state")
+
+
+@query("select request, epoch_us(date) as date, message from (select 'req' || user_id % 4 as request, ts as date, event_type as message from events) x where request = 'req2'")
+def masking_history(v):
+    rows = v("events").selectExpr("'req' || user_id % 4 as request", "cast(ts as timestamp) as date", "event_type as message")
+    return policy.history(rows, "req2").select("request", micros("date"), "message")
+
+
+@query(f"select url, url_match, request, state from ({_RULED}) x where request = (select max(request) from ({_RULED}) y)", "rule")
+def blocking_log(v):
+    log = policy.blocked(v("pages").select("url").distinct(), v("rule"))[1]
+    latest = log.agg(F.max("request")).first()[0]
+    return policy.blocking_log(log, latest).select("url", "url_match", "request", "state")
+
+
 # Lifecycle
 
 
@@ -739,6 +775,32 @@ def stat_counters(v):
     return lifecycle.stat_counters({n: v(n) for n in ("content", "origin", "revision")})
 
 
+@query("select case when page_id % 2 = 0 then 'obj:1:ori:' || sha1(url) else url end as target, page_id from pages")
+def fix_objects(v):
+    rows = v("pages").selectExpr("case when page_id % 2 = 0 then 'origin' else 'content' end as type", "url as target", "'{}' as metadata", "page_id")
+    return lifecycle.fix_objects(rows)
+
+
+@query("select count(*) as \"rows\", cast(sum(length) as bigint) as bytes from v_content", "content")
+def observed_counts(v):
+    df, seen = lifecycle.observed(v("content"), "contents", "length")
+    df.write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
+
+
+@query("select doc_id, length from v_content where doc_id not in (select object_id from v_mask where state <> 'visible') and length >= 100 and sha256 not in (select sha256 from v_content where doc_id % 4 = 1)", "content", "mask")
+def pipeline_of_steps(v):
+    """Proxies in a row, built from a configuration: masking, what is long enough, what isn't known."""
+    known = {
+        "masking": lambda **_: lambda df: policy.masked(df, v("mask"), ["object_id"]),
+        "least": lambda length: lambda df: df.where(F.col("length") >= length),
+        "filter": lambda **_: lambda df: membership.filter_known("content", df, v("content").where("doc_id % 4 = 1")),
+    }
+    steps = pipeline.build([{"cls": "masking"}, {"cls": "least", "length": 100}, {"cls": "filter"}], known)
+    rows = v("content").select(F.col("doc_id").alias("object_id"), "sha256", "length")
+    return steps(rows).select(F.col("object_id").alias("doc_id"), "length")
+
+
 @query("select cast(cast('0x' || substr(sha1(sha1), 1, 8) as bigint) % 16 as integer) as bucket, count(*) as value from v_content group by 1", "content")
 def bucketed_counters(v):
     return lifecycle.bucketed_counters(v("content"), "sha1", 16)
@@ -801,12 +863,57 @@ def buffer_last_wins(v):
     return journal.last_by_key(rows, ["sha1"], "doc_id").select("doc_id", "text")
 
 
-@query("select user_id, case when json_extract_string(props, '$.none') is null then user_id % 2 = 0 end as npm from (select distinct user_id, '{}' as props from events)")
-def metadata_migration_route(v):
-    rows = v("events").select("user_id").distinct()
-    js = F.when(F.col("user_id") % 2 == 0, F.lit('{"extrinsic": {"provider": "https://registry.npmjs.org/x", "raw": {}}}')).otherwise(F.lit('{"a": 1}'))
-    provider = migration.provider_of(F.col("metadata"))
-    return rows.withColumn("metadata", js).select("user_id", provider.eqNullSafe(F.lit("npm")).alias("npm"))
+_SHAPES = "shapes as (select p_partkey, sha1('m' || p_partkey) as id, p_partkey % 8 as k, 'p' || p_partkey || '-x' as pkg from part)"
+
+
+def _old_metadata(v):
+    """Revisions whose metadata has one of eight shapes."""
+    rows = v("part").selectExpr("p_partkey", "sha1('m' || p_partkey) as id", "p_partkey % 8 as k", "'p' || p_partkey || '-x' as pkg", "timestamp '2020-01-01 00:00:00' as date", "'text' as type")
+    shapes = [
+        """{"extrinsic": {"provider": "https://replicate.npmjs.com/PKG/", "when": "2021-02-03T04:05:06", "raw": {"a": 1}}}""",
+        """{"extrinsic": {"provider": "https://pypi.org/pypi/PKG/json", "raw": {"b": 2}}}""",
+        """{"package_source": {"url": "https://registry.npmjs.org/PKG/-/PKG-1.tgz", "filename": "PKG-1.tgz", "sha1": "s", "version": "1", "name": "PKG"}, "package": {"c": 3}}""",
+        """{"original_artifact": {"url": "https://files.pythonhosted.org/PKG", "filename": "PKG-1.0.tar.gz", "size": 7}, "project": {"d": 4}}""",
+        """{"@xmlns": "http://www.w3.org/2005/Atom", "title": "PKG"}""",
+        """{"original_artifact": [{"name": "PKG.zip", "length": 9, "sha256": "t", "colour": "red"}]}""",
+        """{"extrinsic": {"provider": "https://mirror.example/PKG", "raw": {"e": 5}}}""",
+        """{"other": "PKG"}""",
+    ]
+    text = F.element_at(F.array(*[F.lit(s) for s in shapes]), F.col("k").cast("int") + 1)
+    return rows.withColumn("metadata", F.replace(text, F.lit("PKG"), F.col("pkg"))).withColumn("message", F.when(F.col("k") == 5, "synthetic revision message").otherwise("x"))
+
+
+@query(
+    "select id, case k when 0 then 'npm' when 2 then 'npm' when 4 then 'deposit' when 6 then 'mirror' else 'pypi' end as provider, case when k in (0, 2) then 'https://www.npmjs.com/package/' || pkg when k = 1 then 'https://pypi.org/project/' || pkg || '/' when k = 3 then 'https://pypi.org/project/' || pkg || '/' end as origin, case k when 0 then '2021-02-03' else '2020-01-01' end as discovered, case when k in (0, 2) then 'replicate-npm-package-json' when k in (1, 3) then 'pypi-project-json' when k = 4 then 'sword-v2-atom-codemeta-v2-in-json' else 'mirror-json' end as format, case when k in (0, 2) then 'https://npmjs.com/' when k in (1, 3) then 'https://pypi.org/' when k = 6 then 'https://mirror.example/' end as authority_url, case when k = 4 then '{\"@xmlns\": \"http://www.w3.org/2005/Atom\", \"title\": \"' || pkg || '\"}' else '{\"' || chr(cast(97 + case when k = 6 then 4 else k end as integer)) || '\":' || (case when k = 6 then 5 else k + 1 end) || '}' end as payload from shapes where k not in (5, 7)",
+    recursive=_SHAPES,
+)
+def migrate_revision_metadata(v):
+    r = _old_metadata(v)
+    guessed = migration.guessed_origins(r)
+    statuses = r.selectExpr("'https://pypi.org/project/' || pkg || '/' as origin", "id as snapshot")
+    branches = r.selectExpr("id as snapshot_id", "'revision' as target_type", "id as target")
+    found = migration.migrate_revision_metadata(r, more=(("https://mirror.example/", "mirror"),), verified=migration.verify_origins(guessed, statuses, branches))[0]
+    return found.select("id", "provider", "origin", F.date_format("discovery_date", "yyyy-MM-dd").alias("discovered"), "format", "authority_url", "payload")
+
+
+@query("select id, 1 as rules from shapes where k = 7", recursive=_SHAPES)
+def migrate_revision_metadata_left(v):
+    return migration.migrate_revision_metadata(_old_metadata(v), more=(("https://mirror.example/", "mirror"),))[1].select("id", F.lit(1).alias("rules"))
+
+
+@query(
+    "select id, case k when 2 then pkg || '-1.tgz' when 3 then pkg || '-1.0.tar.gz' else pkg || '.zip' end as filename, case k when 3 then 7 when 5 then 9 end as length, case k when 2 then 'sha1=s' when 5 then 'sha256=t' end as checksums, case k when 5 then 'colour' end as unknown from shapes where k in (2, 3, 5)",
+    recursive=_SHAPES,
+)
+def original_artifacts(v):
+    a = migration.original_artifacts(_old_metadata(v)).withColumn("a", F.col("artifacts")[0])
+    sums = F.array_join(F.transform(F.map_entries("a.checksums"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return a.select("id", "a.filename", "a.length", sums.alias("checksums"), F.array_join("unknown", ",").alias("unknown"))
+
+
+@query("select id, origin from (select id, 'https://pypi.org/project/' || unnest([split_part(pkg, '-', 1), pkg, pkg || '-1.0']) || '/' as origin from shapes where k = 3)", recursive=_SHAPES)
+def guessed_origins(v):
+    return migration.guessed_origins(_old_metadata(v))
 
 
 # Partitions, random rows, listings and the rest of the write path

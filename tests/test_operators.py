@@ -239,7 +239,7 @@ def test_migration_routes(spark):
     docs = [
         ("1", '{"extrinsic": {"provider": "https://registry.npmjs.org/@s/p", "raw": {"k": 1}, "when": "2020-01-02T00:00:00Z"}}'),
         ("2", '{"extrinsic": {"provider": "https://pypi.org/pypi/pkg/json", "raw": {}}, "original_artifact": [{"name": "p.tgz", "size": 3, "sha1": "aa", "date": "x"}]}'),
-        ("3", '{"package_source": {"url": "https://registry.npmjs.org/q"}}'), ("4", '{"odd": 1}'), ("5", None),
+        ("3", '{"package_source": {"url": "https://registry.npmjs.org/q", "filename": "q.tgz"}, "package": {"v": 1}}'), ("4", '{"odd": 1}'), ("5", None),
     ]
     revs = spark.createDataFrame(docs, "id string, metadata string").withColumn("date", __import__("pyspark.sql.functions", fromlist=["x"]).lit("2019-01-01").cast("timestamp"))
     good, bad = migration.migrate_revision_metadata(revs)
@@ -247,7 +247,8 @@ def test_migration_routes(spark):
     assert got["1"] == ("npm", "https://www.npmjs.com/package/@s/p", '{"k":1}') and got["2"][:2] == ("pypi", "https://pypi.org/project/pkg/")
     assert got["3"][0] == "npm" and [r.id for r in bad.collect()] == ["4"]
     assert migration.migrate_revision_metadata(revs, after="1")[0].count() == 2
-    (one,) = migration.original_artifacts(revs).collect()
+    one, two = migration.original_artifacts(revs).orderBy("id").collect()
+    assert two.id == "3" and two.artifacts[0].filename == "q.tgz" and one.unknown is None
     assert one.id == "2" and one.artifacts[0].filename == "p.tgz" and one.artifacts[0].length == 3 and one.artifacts[0].checksums == {"sha1": "aa"}
 
 
@@ -312,3 +313,11 @@ def test_iteration_skips_what_is_below_a_path(spark):
     assert [(r.path, r.ord) for r in directory.directory_iterate(root, entries).orderBy("ord").collect()] == [("a", 1), ("a/x", 2), ("a/x/y", 3), ("b", 4)]
     skip = spark.createDataFrame([("r", "a/x")], "root string, path string")
     assert [(r.path, r.ord) for r in directory.directory_iterate(root, entries, skip).orderBy("ord").collect()] == [("a", 1), ("a/x", 2), ("b", 3)]
+
+
+def test_prefixes_are_excluded_as_ranges(spark):
+    names = ["", "a", "ab", "ab\uffff", "ab\U0010ffff", "abc", "ac", "b", "é", "\ud7ff", "\ud7ffx", "\ue000"]
+    df = spark.createDataFrame([("s", n, None, None) for n in names], "snapshot_id string, name string, target_type string, target string")
+    for prefix in ("ab", "a", "\ud7ff", "é", ""):
+        assert sorted(r.name for r in snapshot.snapshot_branches(df, exclude_prefix=prefix).collect()) == sorted(n for n in names if not n.startswith(prefix))
+    assert snapshot.after_prefix(b"a\xff\xff") == b"b" and snapshot.after_prefix(b"\xff") is None and snapshot.after_prefix("a\U0010ffff") == "b"
