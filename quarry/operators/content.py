@@ -70,8 +70,9 @@ def content_update(content: DataFrame, updates: DataFrame, columns: list[str]) -
 def content_get_data(ids: DataFrame, content: DataFrame, data: DataFrame, by: str = "sha1") -> DataFrame:
     """Blobs by one hash: the hash leads to the sha256, that to the bytes; null where either is missing."""
     check_hash_name(by)
-    keys = content.select(by, "sha256") if by != "sha256" else content.select("sha256")
-    return ids.join(keys.dropDuplicates([by]), by, "left").join(data, "sha256", "left")
+    # of colliding contents the one with the least sha256
+    keys = content.groupBy(by).agg(F.min("sha256").alias("sha256")) if by != "sha256" else content.select("sha256").distinct()
+    return ids.join(keys, by, "left").join(data, "sha256", "left")
 
 
 def hash_collisions(new: DataFrame, content: DataFrame) -> DataFrame:

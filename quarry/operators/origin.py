@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError, UnknownObject
+from quarry.operators.content import first_rows
 from quarry.plans.paging import latest, page
 from quarry.schemas import VISIT_STATES
 
@@ -79,7 +80,7 @@ def origin_visit_status_add(new: DataFrame, visits: DataFrame, statuses: DataFra
     if lost:
         raise UnknownObject([tuple(r) for r in lost])
     rows = named.withColumn("type", F.coalesce("type", "_type")).drop("_type", "_hit")
-    return rows.dropDuplicates(["origin", "visit", "date"]).join(statuses, ["origin", "visit", "date"], "left_anti")
+    return first_rows(rows, ["origin", "visit", "date"]).join(statuses, ["origin", "visit", "date"], "left_anti")
 
 
 def filtered_statuses(statuses: DataFrame, type: str | None = None, allowed: list[str] | None = None, require_snapshot: bool = False) -> DataFrame:

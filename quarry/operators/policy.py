@@ -32,7 +32,7 @@ def masked(result: DataFrame, masks: DataFrame, keys: list[str], mode: str = "dr
 def with_display_names(df: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
     """Persons replaced by the display name of their email; a null or empty email has none."""
     for c in columns:
-        own = names.select(F.col("original_email").alias("_email"), F.col("display_name").alias("_shown")).where("length(_email) > 0").dropDuplicates(["_email"])
+        own = names.where("length(original_email) > 0").groupBy(F.col("original_email").alias("_email")).agg(F.min("display_name").alias("_shown"))
         joined = df.join(own, F.col(f"{c}.email") == F.col("_email"), "left")
         kinds = {f.name: f.dataType for f in df.schema[c].dataType}
         shown = F.struct(F.col("_shown").alias("fullname"), F.lit(None).cast(kinds["name"]).alias("name"), F.lit(None).cast(kinds["email"]).alias("email"))

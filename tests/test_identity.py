@@ -67,3 +67,30 @@ def test_objects_are_checked_against_their_ids(spark):
     rows = [(good, None, [entry]), (bytes(20), None, [entry]), (hashlib.sha1(b"tree 1\0x").digest(), b"x", [entry]), (good, None, [(None, "file", bytes(20), 1)])]
     df = spark.createDataFrame(rows, "id binary, raw_manifest binary, entries array<struct<name binary, type string, target binary, perms int>>")
     assert [r.valid for r in identity.validate_objects("directory", df).collect()] == [True, False, True, False]
+
+
+def test_manifests_by_built_in_functions_equal_those_by_bytes(spark):
+    import random
+
+    rng = random.Random(3)
+    name = lambda: bytes(rng.choice(b"ab./\xff\0") for _ in range(rng.randrange(1, 5)))
+    trees, refs = [], []
+    for _ in range(30):
+        names = sorted({name() for _ in range(rng.randrange(9))}, key=lambda _: rng.random())
+        entries = [{"name": n, "type": rng.choice(["file", "dir", "rev"]), "target": rng.randbytes(20), "perms": rng.choice([0o100644, 0o40000, 0, 7])} for n in names]
+        trees.append((identity.object_id("directory", {"entries": entries}), entries, None))
+        branches = [{"name": n, "target_type": t, "target": None if t is None else rng.randbytes(rng.choice([0, 3, 20]))} for n in names for t in [rng.choice(["revision", "alias", None])]]
+        refs.append((identity.object_id("snapshot", {"branches": branches}), branches))
+    trees += [(b"x" * 20, [], None), (None, [], None), (identity.object_id("directory", {"raw_manifest": b"as it was"}), [], b"as it was"), (b"y" * 20, [{"name": None, "type": "dir", "target": b"", "perms": 1}], None)]
+    df = spark.createDataFrame(trees, "id binary, entries array<struct<name binary, type string, target binary, perms int>>, raw_manifest binary")
+    assert [r.valid for r in identity.validate_objects("directory", df).collect()] == [True] * 30 + [False, False, True, False]
+    df = spark.createDataFrame([*refs, (b"z" * 20, None)], "id binary, branches array<struct<name binary, target_type string, target binary>>")
+    assert [r.valid for r in identity.validate_objects("snapshot", df).collect()] == [True] * 30 + [False]
+
+
+def test_commits_are_checked_in_batches(spark):
+    rev = {"directory": b"d" * 20, "parents": [b"p" * 20], "author": None, "date": None, "committer": None, "committer_date": None, "extra_headers": [[b"k", b"v"]], "message": b"m", "raw_manifest": None}
+    good = identity.object_id("revision", rev)
+    schema = "id binary, directory binary, parents array<binary>, author struct<fullname:binary>, date struct<seconds:long>, committer struct<fullname:binary>, committer_date struct<seconds:long>, extra_headers array<array<binary>>, message binary, raw_manifest binary"
+    df = spark.createDataFrame([(good, *rev.values()), (b"no" * 10, *rev.values()), (good, None, *list(rev.values())[1:])], schema)
+    assert [r.valid for r in identity.validate_objects("revision", df).collect()] == [True, False, False]
