@@ -24,18 +24,20 @@ class SuffixAutomaton:
 
     A state is named by a place, so that its move by a symbol, if it has one, is at ``table[state + symbol]``, which holds
     the state's own name (high half) and the next state's. States share the array wherever their moves leave room, so it is
-    about as long as there are moves, whatever the alphabet. The root is 0; ``first[symbol]`` is the root's move or -1.
+    about as long as there are moves, whatever the alphabet. The root is 0; its moves are ``first[symbol]``, 0 for a symbol that
+    the string lacks.
     """
 
     def __init__(self, symbols: list[int], size: int):
         moves = self._moves(symbols)
         place, taken, used = [0] * len(moves), bytearray(4 * len(moves) + 2 * size), bytearray(4 * len(moves) + 2 * size)
         near, cursor = 0, {}
-        for state in [0, *sorted(range(1, len(moves)), key=lambda k: -len(moves[k]))]:
+        used[0] = 1
+        for state in sorted(range(1, len(moves)), key=lambda k: -len(moves[k])):
             own = sorted(moves[state])
             # what is full stays full: states of one move by one symbol go on from the last of them, others from a little before
             key = own[0] if len(own) == 1 else None
-            at = cursor.get(key, 1) if len(own) < 2 and state else max(int(state > 0), near - size)
+            at = cursor.get(key, 1) if len(own) < 2 else max(1, near - size)
             while used[at] or any(taken[at + s] for s in own):
                 at += 1
                 if at + size >= len(taken):
@@ -49,10 +51,10 @@ class SuffixAutomaton:
             else:
                 near = at
         self.table = np.full(max(place) + size + 1, -1, np.int64)
-        for state, to in enumerate(moves):
-            for s, target in to.items():
+        for state in range(1, len(moves)):
+            for s, target in moves[state].items():
                 self.table[place[state] + s] = place[state] << 32 | place[target]
-        self.first = np.full(size, -1, np.int64)
+        self.first = np.zeros(size, np.int64)
         for s, target in moves[0].items():
             self.first[s] = place[target]
 
@@ -88,12 +90,13 @@ class SuffixAutomaton:
         return moves
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and how many phrases end: where a match can't grow, and at a symbol that the sample lacks."""
+        """The next states, and where a phrase begins: where no match is open, or the open one can't grow.
+
+        A symbol that the string lacks is a phrase and leaves no match open.
+        """
         entry = self.table[state + symbol]
-        stop = (entry >> 32) != state
-        fresh = np.where(stop, self.first[symbol], entry & _LOW)
-        ended = (stop & (state > 0)).view(np.int8) + (fresh < 0).view(np.int8)
-        return np.maximum(fresh, 0), ended
+        begins = (entry >> 32) != state
+        return np.where(begins, self.first[symbol], entry & _LOW), begins
 
 
 class CrossParser:
@@ -141,14 +144,30 @@ class CrossParser:
         keep[1:] = (flat[1:] != _SPACE) | (flat[:-1] != _SPACE) | (owner[1:] != owner[:-1])
         return flat[keep], np.bincount(owner[keep], minlength=len(raw))
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases by text and language, each text's letters, and each text's symbols."""
-        flat, sizes = self.symbols([t.lower() for t in texts])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        letters = np.bincount(owner[flat != _SPACE], minlength=len(texts))
-        counts = np.zeros((len(texts), len(self.langs)), np.int64)
+    def phrases(self, texts: list[str], piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases by text and language, each text's letters, and each text's symbols.
+
+        Of texts longer than ``piece`` characters one piece after another is parsed, each from the states that the last one
+        left, so memory doesn't grow with a text.
+        """
+        lowered = [t.lower() for t in texts]
+        counts, letters, sizes, state = self._run([t[: _cut(t, 0, piece)] for t in lowered], np.zeros((len(texts), len(self.langs)), np.int64))
+        for k, text in enumerate(lowered):
+            at = _cut(text, 0, piece)
+            while at < len(text):
+                end = _cut(text, at, piece)
+                more, *added, state[k : k + 1] = self._run([text[at:end]], state[k : k + 1])
+                counts[k], letters[k], sizes[k], at = counts[k] + more[0], letters[k] + added[0][0], sizes[k] + added[1][0], end
+        return counts, letters, sizes
+
+    def _run(self, lowered: list[str], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases that begin in each text by language, letters, symbols, and the states at the ends, from the states in ``entry``."""
+        flat, sizes = self.symbols(lowered)
+        owner = np.repeat(np.arange(len(lowered)), sizes)
+        letters = np.bincount(owner[flat != _SPACE], minlength=len(lowered))
+        counts, left = np.zeros(entry.shape, np.int64), entry.copy()
         blocks = -(-sizes // self.block)
-        of = np.repeat(np.arange(len(texts)), blocks)
+        of = np.repeat(np.arange(len(lowered)), blocks)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         length = np.minimum(self.block, sizes[of] - nth * self.block)
         order = np.argsort(-length, kind="stable")
@@ -158,43 +177,51 @@ class CrossParser:
         start = (np.cumsum(sizes) - sizes)[of] + nth * self.block
         after = np.where(np.append(nth[place][1:], 0) > 0, np.append(place[1:], 0), -1)[order] if len(of) else place
         for k, own in enumerate(self.automata):
-            met, end = self._parsed(own, flat, start, length, after)
-            counts[:, k] = np.bincount(of, met + ((after < 0) & (end > 0)), minlength=len(texts)).astype(np.int64)
-        return counts, letters, sizes
+            met, end = self._parsed(own, flat, start, length, after, np.where(nth == 0, entry[of, k], 0))
+            counts[:, k] = np.bincount(of, met, minlength=len(lowered)).astype(np.int64)
+            left[of[after < 0], k] = end[after < 0]
+        return counts, letters, sizes, left
+
+    def _parsed(self, own: SuffixAutomaton, flat: np.ndarray, start: np.ndarray, length: np.ndarray, after: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, and the state at its end.
 
-    def _parsed(self, own: SuffixAutomaton, flat: np.ndarray, start: np.ndarray, length: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases that end in each block, and the state at its end. Blocks come longest first; ``after``: the next of the text, or -1."""
+        Blocks come longest first; ``after`` is the next of the text, or -1, and ``carried`` the state that first blocks begin in.
+        """
         n = len(start)
         steps = int(length[0]) if n else 0
         alive = np.searchsorted(-length, -np.arange(steps), "left")
-        states, ends = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.uint16 if steps < 1 << 14 else np.int64)
         state, met = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for t in range(steps):
             m = int(alive[t])
-            state[:m], ended = own.step(state[:m], flat[start[:m] + t])
-            met[:m] += ended
-            states[t, :m], ends[t, :m] = state[:m], met[:m]
+            state[:m], begins = own.step(state[:m], flat[start[:m] + t])
+            met[:m] += begins
         total, last, entry = met.copy(), state.copy(), np.zeros(n, np.int64)
-        todo = np.flatnonzero((after >= 0) & (last > 0))
-        while len(todo):
-            into, carried = after[todo], last[todo]
-            differs = carried != entry[into]
-            into, now = into[differs], carried[differs]
-            entry[into] = now
-            here, count = into, np.zeros(len(into), np.int64)
+        # blocks to parse again, and the states they really begin in
+        into = after[(after >= 0) & (last > 0)]
+        carried = carried.copy()
+        carried[into] = last[(after >= 0) & (last > 0)]
+        into = np.flatnonzero(carried != entry)
+        while len(into):
+            now = entry[into] = carried[into]
+            # both parses side by side, until they are in the same state: then the rest is known
+            here, first = into, np.zeros(len(into), np.int64)
+            more = np.zeros(len(into), np.int64)
             for t in range(steps):
                 if not len(here):
                     break
-                now, ended = own.step(now, flat[start[here] + t])
-                count = count + ended
-                same, over = now == states[t, here], length[here] == t + 1
-                met[here[same]] = count[same] + total[here[same]] - ends[t, here[same]]
-                last[here[same]] = state[here[same]]
+                symbol = flat[start[here] + t]
+                now, begins = own.step(now, symbol)
+                first, begins_first = own.step(first, symbol)
+                more = more + begins - begins_first
+                same, over = now == first, length[here] == t + 1
+                met[here[same]], last[here[same]] = total[here[same]] + more[same], state[here[same]]
                 over &= ~same
-                met[here[over]], last[here[over]] = count[over], now[over]
+                met[here[over]], last[here[over]] = total[here[over]] + more[over], now[over]
                 on = ~(same | over)
-                here, now, count = here[on], now[on], count[on]
-            todo = into[(after[into] >= 0) & (last[into] != entry[after[into]])] if len(into) else into
+                here, now, first, more = here[on], now[on], first[on], more[on]
+            behind = into[after[into] >= 0]
+            carried[after[behind]] = last[behind]
+            into = after[behind][carried[after[behind]] != entry[after[behind]]]
         return met, last
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -213,6 +240,14 @@ class CrossParser:
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)], np.clip(score, 0, 1), counts[np.arange(len(texts)), best] / np.maximum(sizes, 1)
 
 
+def _cut(text: str, start: int, piece: int) -> int:
+    """Where a piece of about ``piece`` characters that begins at ``start`` ends: before a letter, so that no run of others is cut."""
+    at = min(start + piece, len(text))
+    while at < len(text) and not text[at].isalpha():
+        at += 1
+    return at
+
+
 def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, languages: int = 200) -> dict[str, str]:
     """Bounded samples of ``labelled(id, text, lang)``: language -> ``chars`` characters at most, from at most ``rows`` distinct texts.
 
@@ -223,17 +258,16 @@ def sample_texts(labelled: DataFrame, chars: int = 20_000, rows: int = 200, lang
     good = labelled.where("lang is not null")
     often = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     good = good.where(F.col("text").isNotNull() & F.col("lang").isin([r["lang"] for r in often])).withColumn("key", F.xxhash64("text", F.lit(17)))
-    # the least keys of every few partitions, then of those: no task sorts a language's keys alone
-    some = Window.partitionBy("lang", "part").orderBy("key")
-    order = Window.partitionBy("lang").orderBy("key")
-    keys = good.select("lang", "key").distinct().withColumn("part", F.spark_partition_id() % 512)
-    keys = keys.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= rows)
-    keys = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "key", "rank")
+    # the least keys of some partitions, then of those of some of these: no task sorts more than a few thousand of a language
+    keys = good.select("lang", "key").distinct().withColumn("part", F.spark_partition_id())
+    for groups in (512, 16, 1):
+        order = Window.partitionBy("lang", F.col("part") % groups).orderBy("key")
+        keys = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     keys = keys.withColumn("share", F.ceil(4 * chars / F.max("rank").over(Window.partitionBy("lang"))).cast("int"))
     start = F.pmod(F.xxhash64("key", F.lit(29)), F.greatest(F.length("text") - F.col("share") + 1, F.lit(1))) + 1
     passage = F.substring("text", start.cast("int"), F.col("share"))
     # every copy of a text gives the same passage
-    cut = good.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "rank").agg(F.first(passage).alias("text"))
+    cut = good.join(F.broadcast(keys.select("lang", "key", "rank", "share")), ["lang", "key"]).groupBy("lang", "rank").agg(F.first(passage).alias("text"))
     out: dict[str, str] = {}
     for lang, _, text in sorted(map(tuple, cut.collect())):
         if len(out.get(lang, "")) < chars:
@@ -254,7 +288,7 @@ def _predicted(parser: CrossParser, texts: list[str | None], batch_chars: int) -
 
 
 def identify_languages(
-    docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21
+    docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20
 ) -> DataFrame:
     """``(id_col, lang_pred string, score double)``, one row per row of ``docs``, from its text alone.
 
@@ -287,7 +321,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return sample_texts(labelled, **bounds)
 
 
-def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang_col: str = "lang", most_phrases: float = MOST_PHRASES, batch_chars: int = 1 << 21) -> DataFrame:
+def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "text", lang_col: str = "lang", most_phrases: float = MOST_PHRASES, batch_chars: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` whose text is in a learnt language, with all their columns, in their partitions.
 
     ``lang_col``, where there is such a column, becomes the language that the parse finds. Rows go whose text is null or

@@ -33,17 +33,26 @@ def test_phrases_equal_longest_match_parsing_of_whole_texts(block):
     assert sizes.tolist() == [len(parser.symbols([t.lower()])[0]) for t in texts]
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50])
+def test_long_texts_are_parsed_piece_by_piece_alike(piece):
+    rng = random.Random(piece)
+    parser = langid.CrossParser({"en": EN, "de": DE}, 8)
+    texts = ["", " . ", EN, DE * 2] + ["".join(rng.choice("abcdeü ,.thrn") for _ in range(rng.randrange(200))) for _ in range(20)]
+    whole, pieces = parser.phrases(texts), parser.phrases(texts, piece)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
 def test_automaton_holds_all_substrings_and_no_more():
     rng = random.Random(3)
     string = [rng.randrange(2, 5) for _ in range(60)]
     own = langid.SuffixAutomaton(string, 5)
 
     def known(part):
-        state, ended = np.zeros(1, np.int64), 0
+        state, n = np.zeros(1, np.int64), 0
         for s in part:
-            state, n = own.step(state, np.array([s]))
-            ended += int(n[0])
-        return not ended
+            state, begins = own.step(state, np.array([s]))
+            n += int(begins[0])
+        return n <= 1
 
     subs = {tuple(string[i:j]) for i in range(60) for j in range(i, 61)}
     assert all(map(known, subs))
