@@ -57,6 +57,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes at its end what ``materialised`` wrote inside it, but for the paths taken off the list it gives.

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, materialised
+from quarry.llm.common import connected_components, free, materialised
 from quarry.llm.simhash import majority, near_pairs
 
 SEED, WIDTH, SIMILARITY = 42, 5, 0.8
@@ -81,7 +81,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(of, "id long, class long, n int, fp long, sigs array<long>")
 
 
-def _with_class(docs: DataFrame, text_col: str, name: str = "class__") -> DataFrame:
+def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with each row's class as another column."""
     at = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -110,8 +110,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, chunks: int = 64) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach ``similarity``. One set of ``a`` serves up to a ``chunks``-th of its partners."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int = 256) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach ``similarity``. One set of ``a`` serves about ``most`` of its partners."""
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head, mine = None, np.zeros(0, np.uint64)
@@ -126,7 +126,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, chunks: int
                     b_out.append(int(b))
             yield pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
 
-    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(chunks)).cast("int"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("chunks"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
     heads = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("class", "a"), "a").select("a", "chunk", F.lit(None).cast("string").alias("b"), "own")
     rest = dealt.join(sets.withColumnRenamed("class", "b"), "b").select("a", "chunk", F.col("b").cast("string").alias("b"), "own")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -238,11 +239,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class")).alias("head")).select("head.id", "head.class")
     often = marks.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias("again"))
     heads, _ = materialised(heads.join(often, F.col("id").eqNullSafe(F.col("again")), "left").select("id", "class", F.coalesce(F.col("again").isNotNull() | F.col("id").isNull(), F.lit(False)).alias("many")), "heads")
-    key = F.col(id_col).cast("long")
-    once = heads.where("not many").select(F.col("id").alias("id__"))
-    kept = docs.join(once, key == F.col("id__"), "left_semi")
+    key, named_id, kept_class, own_class = F.col(id_col).cast("long"), free("id", docs), free("kept", docs), free("class", docs)
+    once = heads.where("not many").select(F.col("id").alias(named_id))
+    kept = docs.join(once, key == F.col(named_id), "left_semi")
     # rows whose id occurs again, perhaps with another text: these are told apart by their class
-    ids = heads.where("many").select(F.col("id").alias("id__"), F.col("class").alias("kept__"))
-    again = _with_class(docs.join(ids.select("id__").distinct(), key.eqNullSafe(F.col("id__")), "left_semi"), text_col)
-    again = again.join(ids, key.eqNullSafe(F.col("id__")) & (F.col("class__") == F.col("kept__")), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col, "class__"]).drop("class__"))
+    ids = heads.where("many").select(F.col("id").alias(named_id), F.col("class").alias(kept_class))
+    again = _with_class(docs.join(ids.select(named_id).distinct(), key.eqNullSafe(F.col(named_id)), "left_semi"), text_col, own_class)
+    again = again.join(ids, key.eqNullSafe(F.col(named_id)) & (F.col(own_class) == F.col(kept_class)), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, own_class]).drop(own_class))
