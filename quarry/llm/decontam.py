@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, materialised
+from quarry.llm.common import discard, free, materialised
 
 WIDTH, LEAST = 5, 0.8
 _WORD = re.compile(r"[^\W_]+")
@@ -206,7 +206,7 @@ class Filter:
         return cls(out)
 
 
-def _parts(texts: list[str], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -288,7 +288,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     """
     table, path = materialised(item_table(items, text_col, width, least), "items")
     found, _, paths = _matches(docs.select(F.lit(None).cast("long").alias("doc_id"), text_col), table, "doc_id", text_col)
-    bad, _ = materialised(found.select(F.col("doc").alias("bad__")).distinct(), "contaminated")
+    name = free("bad", docs)
+    bad, _ = materialised(found.select(F.col("doc").alias(name)).distinct(), "contaminated")
     for p in (path, *paths):
         discard(docs.sparkSession, p)
-    return docs.join(bad, digest(text_col) == F.col("bad__"), "left_anti")
+    return docs.join(bad, digest(text_col) == F.col(name), "left_anti")

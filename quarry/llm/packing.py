@@ -232,7 +232,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 flat, counts = own.encode(part.column(1).cast(pa.large_string()))
                 raw, stop = flat.astype("<u4").tobytes(), np.cumsum(counts)
                 full, rest = [], []
