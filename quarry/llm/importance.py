@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialised
+from quarry.llm.common import discard, materialised
 from quarry.llm.decontam import WordHasher, _parts, shingle_hashes
 
 BUCKETS = 1 << 15
@@ -96,9 +96,11 @@ def gumbel_top_k(weighed: DataFrame, share: float, id_col: str = "doc_id") -> Da
     """``weighed`` with ``rank long`` (from 1, by falling key) and ``selected boolean``: the first ``ceil(share n)`` ranks.
 
     This draws that many rows without replacement with chances in proportion to their weights. Rows are sorted by
-    ranges of the key over all tasks and numbered in each; what the driver gathers is one count per range.
+    ranges of the key over all tasks and numbered in each; what the driver gathers is one count per range. ``weighed`` must be a
+    table that was written: it is read more than once, and no more after the ranks are written.
     """
-    parts = int(weighed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # short rows, 10 million to a task at most
+    parts = max(int(weighed.sparkSession.conf.get("spark.sql.shuffle.partitions")), weighed.count() // 10_000_000)
     names = weighed.columns
     # rows equal in all these, however many, are told apart by their places in the table that was written
     order = [F.desc("key"), F.col(id_col), F.col("features"), F.monotonically_increasing_id()]
@@ -109,21 +111,21 @@ def gumbel_top_k(weighed: DataFrame, share: float, id_col: str = "doc_id") -> Da
         for batch in batches:
             size = batch.num_rows
             columns = [*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n + 1, n + size + 1))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "part", "nth"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_part", "_nth"])
             n += size
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in weighed.schema)
-    numbered, _ = materialised(dealt.mapInArrow(number, f"{fields}, part int, nth long"), "ranked")
-    counts = dict(map(tuple, numbered.groupBy("part").count().collect()))  # one row per shuffle partition
+    numbered, _ = materialised(dealt.mapInArrow(number, f"{fields}, _part int, _nth long"), "ranked")
+    counts = dict(map(tuple, numbered.groupBy("_part").count().collect()))  # one row per shuffle partition
     base, total = [], 0
     for k in range(parts):
         base.append(total)
         total += counts.get(k, 0)
-    offset = F.get(F.array(*map(F.lit, base)), F.col("part")) if parts <= 1 << 14 else None
+    offset = F.get(F.array(*map(F.lit, base)), F.col("_part")) if parts <= 1 << 14 else None
     if offset is None:
-        known = weighed.sparkSession.createDataFrame(list(enumerate(base)), "part int, base long")
-        numbered, offset = numbered.join(F.broadcast(known), "part"), F.col("base")
-    ranked = numbered.withColumn("rank", (offset + F.col("nth")).cast("long"))
+        known = weighed.sparkSession.createDataFrame(list(enumerate(base)), "_part int, _base long")
+        numbered, offset = numbered.join(F.broadcast(known), "_part"), F.col("_base")
+    ranked = numbered.withColumn("rank", (offset + F.col("_nth")).cast("long"))
     return ranked.select(*names, "rank", (F.col("rank") <= math.ceil(share * total)).alias("selected"))
 
 
@@ -138,5 +140,7 @@ def resample(
     an empty table gives none. Other columns are ignored.
     """
     ratio = fit(docs, target_ids(labels, id_col, condition, most_target), id_col, text_col)
-    weighed, _ = materialised(log_weights(docs, ratio, id_col, text_col, seed), "weighed")
-    return gumbel_top_k(weighed, share, id_col)
+    weighed, path = materialised(log_weights(docs, ratio, id_col, text_col, seed), "weighed")
+    ranked = gumbel_top_k(weighed, share, id_col)
+    discard(docs.sparkSession, path)
+    return ranked

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, materialised
+from quarry.llm.common import connected_components, materialised, scratch
 
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -272,6 +272,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other; repeated ids give repeated rows; a null id is never the smallest unless all ids of
     its component are null, when ``component_id`` is null. An empty table gives none. Other columns are ignored.
     """
+    with scratch(docs.sparkSession) as made:
+        out, path = materialised(_named(docs, id_col, text_col, bits), "near-duplicates")
+        made.remove(path)
+    return out
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
     marked, _ = materialised(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
     classes, _ = materialised(classes, "classes")

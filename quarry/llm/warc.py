@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialised, shared_dir
+from quarry.llm.common import materialised, scratch, shared_dir
 
 #: Fixed values of the seekable format: a skippable frame, and the mark at the file's end.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -177,7 +177,10 @@ def write_bundles(pages: DataFrame, path: str | None = None, frame_bytes: int =
             writer.close()
         yield index()
 
-    return materialised(with_roles(pages).mapInArrow(write, _INDEX), "warc-index")[0]
+    with scratch(spark) as made:
+        index, at = materialised(with_roles(pages).mapInArrow(write, _INDEX), "warc-index")
+        made.remove(at)
+    return index
 
 
 def _reader(cache: dict, file: str) -> BundleReader:
@@ -204,7 +207,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
     Payloads are checked against their digests on the way; a revisit's payload is null.
     """
     frames = index.select("file", "frame").distinct()
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # half a gigabyte of frames to a task
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), frames.count() // 2000)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
