@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -86,9 +87,42 @@ def int_ranges(low: int, high: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(a + most, high)) for a in range(low, high, most)]
 
 
+def in_int_ranges(table: DataFrame, key: str, low: int, high: int, most: int) -> DataFrame:
+    """``table`` with ``range long``: the number of the range of ``int_ranges(low, high, most)`` that the key is in; other rows go.
+
+    Reckoned from the key, so the number of ranges costs nothing.
+    """
+    if most <= 0:
+        raise ArgumentError("a range holds one id at least")
+    number = F.expr(f"(cast(`{key}` as bigint) - {low}) div {most}")
+    return table.where((F.col(key) >= F.lit(low)) & (F.col(key) < F.lit(high))).withColumn("range", number)
+
+
+def _owners(ranges: list[tuple]) -> tuple[list, list[int | None]]:
+    """The ranges' bounds in order, and of each stretch between them (the first lies before all) the first range that holds it."""
+    marks = sorted({b for r in ranges for b in r if b is not None})
+    owners: list[int | None] = [None] * (len(marks) + 1)
+    for number, (a, b) in enumerate(ranges):
+        for i in range(0 if a is None else bisect_right(marks, a), len(owners) if b is None else bisect_right(marks, b)):
+            owners[i] = number if owners[i] is None else owners[i]
+    return marks, owners
+
+
 def in_ranges(table: DataFrame, key: str, ranges: list[tuple]) -> DataFrame:
-    """``table`` with ``range int``: the number of the half-open range, of bytes, ints or identifiers alike, that the key is in; other rows go."""
-    number = F.coalesce(*[F.when((F.lit(True) if a is None else F.col(key) >= F.lit(a)) & (F.lit(True) if b is None else F.col(key) < F.lit(b)), F.lit(i)) for i, (a, b) in enumerate(ranges)])
+    """``table`` with ``range int``: the number of the half-open range, of bytes, ints or identifiers alike, that the key is in; other rows go.
+
+    Few ranges are compared one by one; many are searched in their order, as an expression of that length would fill the driver.
+    """
+    if len(ranges) <= 64:
+        number = F.coalesce(*[F.when((F.lit(True) if a is None else F.col(key) >= F.lit(a)) & (F.lit(True) if b is None else F.col(key) < F.lit(b)), F.lit(i)) for i, (a, b) in enumerate(ranges)])
+    else:
+        marks, owners = _owners(ranges)
+
+        @F.udf("int", useArrow=True)
+        def number_of(value):
+            return None if value is None else owners[bisect_right(marks, value)]
+
+        number = number_of(key)
     return table.withColumn("range", number).where("range is not null")
 
 
