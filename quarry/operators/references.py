@@ -14,17 +14,20 @@ from quarry.errors import ArgumentError
 ENTRY_TARGETS = {"file": "content", "dir": "directory", "rev": "revision"}
 
 
-def edges(directory_entry=None, revision=None, revision_parent=None, release=None, snapshot_branch=None, origin_visit_status=None) -> DataFrame:
+def edges(directory_entry=None, revision=None, revision_parent=None, release=None, snapshot_branch=None, origin_visit_status=None, tasks: int | None = None) -> DataFrame:
     """``(source_type, source, target_type, target)`` of all edges in the given tables; dangling and alias branches have none.
 
-    Edges of different tables are never equal; only where one object may name another twice are they made distinct.
+    Edges of different tables are never equal; only where one object may name another twice are they made distinct, over
+    ``tasks`` tasks, if given (``plans.paging.tasks_for``), after each partition has made its own so.
     """
 
     def edge(df: DataFrame, source_type: str, source: str, target_type, target: str, once: bool = False) -> DataFrame:
         kind = F.lit(target_type) if isinstance(target_type, str) else target_type
         rows = df.select(F.lit(source_type).alias("source_type"), F.col(source).alias("source"), kind.alias("target_type"), F.col(target).alias("target"))
         rows = rows.where("target is not null and target_type is not null")
-        return rows if once else rows.distinct()
+        if once:
+            return rows
+        return rows.distinct() if tasks is None else rows.distinct().repartition(tasks, *rows.columns).distinct()
 
     names = F.create_map(*[F.lit(x) for pair in ENTRY_TARGETS.items() for x in pair])
     found = []
@@ -44,25 +47,36 @@ def edges(directory_entry=None, revision=None, revision_parent=None, release=Non
     return reduce(DataFrame.unionByName, found)
 
 
-def object_references_add(new: DataFrame, table: DataFrame | None, date: datetime.date, open_weeks: set[tuple[int, int]] | None = None) -> DataFrame:
-    """References to append on a day, with their ISO week; the week's partition must be open, where that is asked."""
+def object_references_add(new: DataFrame, table: DataFrame | None, date: datetime.date, open_weeks: set[tuple[int, int]] | None = None, tasks: int | None = None) -> DataFrame:
+    """References to append on a day, with their ISO week; the week's partition must be open, where that is asked.
+
+    Rows are made distinct and compared over ``tasks`` tasks, if given.
+    """
     week = tuple(date.isocalendar())[:2]
     if open_weeks is not None and week not in open_weeks:
         raise ArgumentError(f"no partition for week {week}")
-    rows = new.distinct().withColumn("date", F.lit(date)).withColumn("iso_year", F.lit(week[0])).withColumn("iso_week", F.lit(week[1]))
-    keys = ["source_type", "source", "target_type", "target", "date"]
-    return rows if table is None else rows.join(table.where(F.col("date") == F.lit(date)), keys, "left_anti")
+    keys = ["source_type", "source", "target_type", "target"]
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, *keys)
+    rows = dealt(new).distinct()
+    if table is not None:
+        rows = rows.join(dealt(table.where(F.col("date") == F.lit(date)).select(*keys)), keys, "left_anti")
+    return rows.withColumn("date", F.lit(date)).withColumn("iso_year", F.lit(week[0])).withColumn("iso_week", F.lit(week[1]))
 
 
-def object_find_recent_references(asked: DataFrame, table: DataFrame, limit: int) -> DataFrame:
+def object_find_recent_references(asked: DataFrame, table: DataFrame, limit: int, buckets: int = 16, tasks: int | None = None) -> DataFrame:
     """At most ``limit`` sources of each target over all weeks, by (type, id).
 
-    Sources are ranked alike where weeks repeat them, so map tasks keep the first ranks of a hot target, and only those are
-    made distinct.
+    A target's sources are dealt over ``buckets`` by their ids, and over ``tasks`` tasks, if given; each bucket keeps its first
+    ranks, and of those the first are kept. Sources are ranked alike where weeks repeat them, and made distinct in between.
     """
-    rows = asked.select("target_type", "target").distinct().join(table, ["target_type", "target"]).select("target_type", "target", "source_type", "source")
-    nth = F.dense_rank().over(Window.partitionBy("target_type", "target").orderBy("source_type", "source"))
-    return rows.withColumn("ord", nth).where(F.col("ord") <= limit).distinct()
+    keys = ["target_type", "target"]
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, *keys, "_bucket")
+    bucket = F.pmod(F.xxhash64("source_type", "source"), F.lit(buckets)).cast("int")
+    many = asked.select(*keys).distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    rows = dealt(table.select(*keys, "source_type", "source").withColumn("_bucket", bucket)).join(dealt(many), [*keys, "_bucket"])
+    first = lambda df, *by: df.withColumn("ord", F.dense_rank().over(Window.partitionBy(*by).orderBy("source_type", "source"))).where(F.col("ord") <= limit)
+    few = first(rows, *keys, "_bucket").select(*keys, "source_type", "source").distinct()
+    return first(few, *keys)
 
 
 def week_bounds(iso_year: int, iso_week: int) -> tuple[datetime.date, datetime.date]:

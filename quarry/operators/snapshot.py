@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import ArgumentError
 from quarry.operators.content import new_rows
-from quarry.plans.paging import latest, page_from
+from quarry.plans.paging import latest, page_from, tasks_for
 from quarry.session import cut
 
 
@@ -74,15 +74,16 @@ def snapshot_branch_get_by_name(asked: DataFrame, branches: DataFrame, max_chain
 
     Aliases are followed one join at a time over all questions. ``aliases_followed`` has the names met, the asked
     and the last one included; a chain ends without a target at a name that isn't there, at one it met before, and
-    at ``max_chain`` names.
+    at ``max_chain`` names. ``branches`` is read once a round and counted for the number of tasks: pass a table, not a plan.
     """
-    own = branches.select("snapshot_id", F.col("name").alias("_at"), F.struct("target_type", "target").alias("_b"), F.lit(True).alias("_hit"))
+    n, at = tasks_for(branches), ["snapshot_id", "_at"]
+    own = branches.select("snapshot_id", F.col("name").alias("_at"), F.struct("target_type", "target").alias("_b"), F.lit(True).alias("_hit")).repartition(n, *at)
     kind = branches.schema["name"].dataType.simpleString()
     empty = F.array().cast(f"array<{kind}>")
     now = asked.select("ord", "snapshot_id", F.col("name").alias("_at"), empty.alias("chain"))
     done = []
     for _ in range(max_chain):
-        step = now.join(own, ["snapshot_id", "_at"], "left")
+        step = now.repartition(n, *at).join(own, at, "left")
         step = step.withColumn("met", F.array_contains("chain", F.col("_at"))).withColumn("chain", F.when(F.col("_hit"), F.concat("chain", F.array("_at"))).otherwise(F.col("chain")))
         alias = F.coalesce(F.col("_b.target_type") == "alias", F.lit(False))
         step, _ = cut(step.withColumn("alias", alias).withColumn("over", ~alias | F.col("met") | (F.size("chain") >= max_chain)), "alias")

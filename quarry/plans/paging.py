@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from quarry.errors import ArgumentError
 from quarry.session import cut
 
+#: Rows that one task of a large shuffle should get.
+ROWS_OF_A_TASK = 500_000
+
+
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """Over how many tasks to deal ``df`` so that what one of them holds stays the same as the table grows.
+
+    ``rows``, if the caller knows them; else they are counted, which only reads the footers of files.
+    """
+    rows = df.count() if rows is None else rows
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_TASK))
+
 
 def page(df: DataFrame, keys: list[str], limit: int, after: tuple | None = None, descending: bool = False) -> tuple[DataFrame, tuple | None]:
     """The first ``limit`` rows past ``after`` in the order of ``keys``, and the token of the next page (None: no more).

@@ -6,7 +6,10 @@ two texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.plans import paging
 
 _CHANGED = "(s_suppkey % 7 = 0 or s_suppkey % 5 = 0 or s_suppkey % 11 = 0 or s_suppkey % 13 = 0)"
 _TREE_1 = """select 'root' as directory_id, r_name as name, 'dir' as type, 'r' || r_regionkey as target, 16384 as perms from {region}
@@ -59,10 +62,33 @@ def _needs(text: str) -> list[str]:
     return [n for n in (*VIEWS, *BASE) if f"{{{n}}}" in text]
 
 
+def branches(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """The view ``branch``, dealt by snapshot over as many tasks as its lines ask for: one shuffle for join, grouping and window.
+
+    Parts are joined where the lines lie while one task could hold them all, else both sides are dealt by part.
+    """
+    n = paging.tasks_for(lineitem)
+    lines, parts = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_returnflag"), part.select("p_partkey", "p_name")
+    if part.count() > paging.ROWS_OF_A_TASK:
+        lines, parts = lines.repartition(n, "l_partkey"), parts.repartition(n, "p_partkey").hint("merge")
+    name = F.concat("p_name", F.lit("/"), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"))
+    # numbers in the order of the types' names: least numbers are kept in a hash table, least strings would be sorted
+    kind = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2)
+    named = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", name.alias("name"), kind.alias("kind"))
+    known = orders.select("o_orderkey").repartition(n, "o_orderkey")
+    rows = named.repartition(n, "l_orderkey").join(known, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.groupBy(F.col("l_orderkey").alias("snapshot_id"), "name").agg(F.min("kind").alias("kind"))
+    last = F.max("name").over(Window.partitionBy("snapshot_id"))
+    target = F.when(F.col("kind") == 2, F.sha1((F.col("snapshot_id") % 97).cast("string").cast("binary"))).when(F.col("kind") == 1, last)
+    return rows.select("snapshot_id", "name", F.when(F.col("kind") == 1, "alias").when(F.col("kind") == 2, "revision").alias("target_type"), target.alias("target"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a sample table, as a DataFrame."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "branch":
+        return branches(*[view(spark, sf_dir, n) for n in ("orders", "lineitem", "part")])
     text = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 

@@ -5,8 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import lifecycle
-from quarry.plans import queries
+from quarry.operators import lifecycle, snapshot
+from quarry.plans import paging, queries
+from quarry.sources import projections
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -51,3 +52,31 @@ def test_backfill_ranges_of_scattered_ids(spark, tmp_path):
 def test_extids_that_repeat_are_found_once_a_row(spark, tmp_path):
     pages = "select i as page_id, 'http://e.example/' || i % 4 as url, 'h' || i % 7 as html from range(60) t(i)"
     assert same_as_sql(spark, tmp_path, "extid_get_from_extid", pages=pages)
+
+
+GROUPS = ("snapshot_branch_get_by_name", "snapshot_resolve_alias", "snapshot_get_latest", "snapshot_count_branches", "edge_extraction", "object_references_add", "object_find_recent_references",
+          "snapshot_add", "snapshot_id_from_revision", "visits_and_snapshots_from_revision")
+
+
+@pytest.mark.parametrize("name", GROUPS)
+def test_equals_sql_dealt_over_many_tasks(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(paging, "ROWS_OF_A_TASK", 150)
+    assert same_as_sql(spark, tmp_path, name, *[t for t in projections.BASE if t != "events"], events="select event_id, ts, user_id % 3 as user_id, event_type from '/root/testdata/sf0.001/events.parquet'")
+
+
+def test_branches_are_dealt_by_volume_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(paging, "ROWS_OF_A_TASK", 500)
+    rows = projections.view(spark, "/root/testdata/sf0.001", "branch")
+    lines = projections.view(spark, "/root/testdata/sf0.001", "lineitem").count()
+    used = rows.select("snapshot_id", "target", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in used}) > 8 and max(r["p"] for r in used) < -(-lines // 500)
+    assert len({(r["snapshot_id"], r["p"]) for r in used}) == len({r["snapshot_id"] for r in used})
+
+
+def test_revision_is_found_in_newest_snapshot_of_many(spark):
+    statuses = spark.createDataFrame([("o", 1, 5, "s1"), ("o", 2, 1, "s2"), ("o", 2, 1, "s3"), ("o", 3, 9, "s9"), ("p", 1, 1, "s1")], "origin string, visit long, date long, snapshot string").withColumn("status", F.lit("full"))
+    branches = spark.createDataFrame([("s1", "a"), ("s1", "a"), ("s2", "a"), ("s3", "a"), ("s3", "b"), ("s9", "c")], "snapshot_id string, target string").withColumn("target_type", F.lit("revision"))
+    asked = spark.createDataFrame([("o", "a"), ("o", "a"), ("o", "b"), ("p", "a"), ("p", "b")], "origin string, id string")
+    assert sorted(map(tuple, snapshot.snapshot_id_from_revision(asked, statuses, branches).collect())) == [("o", "a", "s3"), ("o", "b", "s3"), ("p", "a", "s1")]
+    each = snapshot.visits_and_snapshots_from_revision(asked, statuses, branches).where("snapshot = 's1'").select("origin", "id").collect()
+    assert sorted(map(tuple, each)) == [("o", "a")] * 2 + [("p", "a")] * 2
