@@ -115,12 +115,28 @@ def snapshot_get_latest(origins: DataFrame, statuses: DataFrame, branches: DataF
 
 
 def visits_and_snapshots_from_revision(asked: DataFrame, statuses: DataFrame, branches: DataFrame) -> DataFrame:
-    """``(origin, id, visit, date, status, snapshot)`` where a branch of the snapshot is the revision, one row per branch."""
-    hits = branches.where("target_type = 'revision'").select(F.col("snapshot_id").alias("snapshot"), F.col("target").alias("id"))
+    """``(origin, id, visit, date, status, snapshot)`` where a branch of the snapshot is the revision, one row per branch.
+
+    Branches are counted before the join and told apart after it, so no join meets a snapshot's branches one by one.
+    """
+    hits = branches.where("target_type = 'revision'").groupBy(F.col("snapshot_id").alias("snapshot"), F.col("target").alias("id")).agg(F.count("*").alias("_n"))
+    hits = hits.join(asked.select("id").distinct(), "id", "left_semi")
     rows = statuses.where("snapshot is not null").join(asked.distinct(), "origin").join(hits, ["snapshot", "id"])
-    return rows.select("origin", "id", "visit", "date", "status", "snapshot")
+    each = F.explode(F.array_repeat(F.lit(0).cast("tinyint"), F.col("_n").cast("int")))
+    return rows.select("origin", "id", "visit", "date", "status", "snapshot", each.alias("_each")).drop("_each")
 
 
 def snapshot_id_from_revision(asked: DataFrame, statuses: DataFrame, branches: DataFrame) -> DataFrame:
-    """The snapshot of the newest such visit and status."""
-    return latest(visits_and_snapshots_from_revision(asked, statuses, branches), ["origin", "id"], ["visit", "date", "snapshot"]).select("origin", "id", "snapshot")
+    """The snapshot of the newest such visit and status.
+
+    Of an origin's statuses with one snapshot only the newest can be it, and of a snapshot's branches to one revision one.
+    An origin's snapshots are ranked before they meet revisions; of each pair the least rank is kept, in a hash table.
+    """
+    hits = branches.where("target_type = 'revision'").select(F.col("snapshot_id").alias("snapshot"), F.col("target").alias("id")).distinct()
+    hits = hits.join(asked.select("id").distinct(), "id", "left_semi")
+    known = statuses.where("snapshot is not null").join(asked.select("origin").distinct(), "origin", "left_semi")
+    newest = latest(known.select("origin", "snapshot", "visit", "date"), ["origin", "snapshot"], ["visit", "date"])
+    rank = F.row_number().over(Window.partitionBy("origin").orderBy(*[F.desc(c) for c in ("visit", "date", "snapshot")]))
+    ranked = newest.select("origin", "snapshot", rank.alias("_rank"))
+    best = ranked.join(hits, "snapshot").groupBy("origin", "id").agg(F.min("_rank").alias("_rank")).join(asked.select("origin", "id").distinct(), ["origin", "id"])
+    return best.join(ranked, ["origin", "_rank"]).select("origin", "id", "snapshot")
