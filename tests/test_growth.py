@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import lifecycle, snapshot
+from quarry.operators import diff, lifecycle, snapshot
 from quarry.plans import paging, queries
 from quarry.sources import projections
 
@@ -80,3 +80,16 @@ def test_revision_is_found_in_newest_snapshot_of_many(spark):
     assert sorted(map(tuple, snapshot.snapshot_id_from_revision(asked, statuses, branches).collect())) == [("o", "a", "s3"), ("o", "b", "s3"), ("p", "a", "s1")]
     each = snapshot.visits_and_snapshots_from_revision(asked, statuses, branches).where("snapshot = 's1'").select("origin", "id").collect()
     assert sorted(map(tuple, each)) == [("o", "a")] * 2 + [("p", "a")] * 2
+
+
+def test_trees_are_compared_once_for_all_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(diff, "PAIRS_OF_A_TASK", 3)
+    seen = []
+    compare = diff._changed
+    monkeypatch.setattr(diff, "_changed", lambda pairs, *rest: seen.append(pairs.count()) or compare(pairs, *rest))
+    entries = spark.createDataFrame([("t", "a", "file", "1", 1), ("t", "b", "file", "2", 1), ("u", "a", "file", "3", 1), ("u", "d", "dir", "t", 2)], "directory_id string, name string, type string, target string, perms int")
+    trees = [(None, "t"), ("t", "u"), ("u", None), ("t", "t"), (None, None)]
+    pairs = spark.createDataFrame([(k, *trees[k % 5]) for k in range(50)], "pair long, old_dir string, new_dir string")
+    found = sorted((r["pair"] % 5, r["type"], r["from_path"] or "", r["to_path"] or "") for r in diff.diff_directories(pairs, entries).collect())
+    once = [(0, "insert", "", "a"), (0, "insert", "", "b"), (1, "delete", "b", ""), (1, "insert", "", "d/a"), (1, "insert", "", "d/b"), (1, "modify", "a", "a"), (2, "delete", "a", ""), (2, "delete", "d/a", ""), (2, "delete", "d/b", "")]
+    assert found == sorted(once * 10) and seen == [5]
