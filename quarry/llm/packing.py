@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,22 @@ class Tokens:
         flat = np.concatenate([first, second[second != self.mark], *rest])
         return letters + plain + odd, flat, np.concatenate([*sizes, np.array([len(r) for r in rest], np.int64)])
 
+    @staticmethod
+    def _closed(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words that end in a small letter and a full stop or comma; of each word the place of that sign, or -1."""
+        mark = np.full(len(words), -1, np.int64)
+        if not len(words):
+            return np.zeros(0, np.int64), mark
+        raw = words.buffers()[2]
+        bytes_ = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        long = np.flatnonzero(np.diff(ends) > 1)
+        last, before = bytes_[ends[long + 1] - 1], bytes_[ends[long + 1] - 2]
+        dot = last == ord(".")
+        hit = (dot | (last == ord(","))) & (before >= ord("a")) & (before <= ord("z"))
+        mark[long[hit]] = np.where(dot[hit], 0, 1)
+        return long[hit], mark
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after another, and each text's number of ids; a null text has none."""
         filled = pc.fill_null(texts, "").cast(pa.large_string())
@@ -157,17 +174,18 @@ class Tokens:
         split = pc.split_pattern(pa.LargeStringArray.from_buffers(len(filled), filled.buffers()[1], clean, offset=filled.offset), " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        cut = [len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z" for w in words]
-        bases = [w[:-1] if c else w for w, c in zip(words, cut, strict=True)]
-        known = self.known
-        new, flat, sizes = self._words(list(dict.fromkeys(b for b in bases if b not in known)))
+        cut, mark = self._closed(coded.dictionary)
+        bases, known = coded.dictionary.to_pylist(), self.known
+        for k in cut.tolist():
+            bases[k] = bases[k][:-1]
+        at = np.fromiter(map(known.get, bases, repeat(-1)), np.int64, len(bases))
+        lacking = np.flatnonzero(at < 0).tolist()
+        new, flat, sizes = self._words(list(dict.fromkeys(bases[k] for k in lacking)))
         old = len(self.ends) - 1
         ids = np.concatenate([self.ids, flat])
         ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)]).astype(np.int64)
         fresh = {w: old + k for k, w in enumerate(new)}
-        at = np.fromiter((known[b] if b in known else fresh[b] for b in bases), np.int64, len(bases))
-        mark = np.fromiter((known[w[-1]] if c else -1 for w, c in zip(words, cut, strict=True)), np.int64, len(words))
+        at[lacking] = [fresh[bases[k]] for k in lacking]
         room = max(0, self.keep - old)
         known.update((w, fresh[w]) for w in new[:room])
         self.ends = ends[: old + min(room, len(new)) + 1]
