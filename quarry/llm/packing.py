@@ -51,7 +51,7 @@ class Packer:
             left, taken = np.ones(len(self.limits)), []
             open_, own = waiting, share[waiting]
             while True:
-                fits = (own <= left + 1e-9).all(axis=1)
+                fits = np.logical_and.reduce([own[:, d] <= most for d, most in enumerate(left + 1e-9)])
                 if not fits.all():
                     open_, own = open_[fits], own[fits]
                 if not len(open_):
@@ -59,7 +59,7 @@ class Packer:
                 k = int((own @ (weight * left)).argmax())
                 taken.append(open_[k])
                 left = left - own[k]
-                open_, own = np.delete(open_, k), np.delete(own, k, axis=0)
+                own[k] = np.inf  # fits no more
             waiting = np.setdiff1d(waiting, taken, assume_unique=True)
             yield [self.items[i] for i in taken]
         self.sizes, self.items = self.sizes[waiting], [self.items[i] for i in waiting]
@@ -103,7 +103,7 @@ def pack_examples(df: DataFrame, demands: Sequence[str], limits: Sequence[int],
 
 
 #: Bytes of UTF-8 with A-Z lower-cased and every ASCII white space a space.
-_ONE_SPACE = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")), np.uint8)
+_ONE_SPACE = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\v\f\r", b"     "))
 
 
 class Tokens:
@@ -118,10 +118,17 @@ class Tokens:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Words of small Latin letters leave normalizer and splitter as they are: the same model needs neither for them,
+        # nor, where they are ASCII, letters for bytes.
+        self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -133,21 +140,25 @@ class Tokens:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _many(self, words: list[str], between: str) -> np.ndarray:
+    @staticmethod
+    def _many(tokenizer, words: list[str], between: str) -> np.ndarray:
         joined = [between.join(words[i : i + 500]) + between for i in range(0, len(words), 500)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        found = tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         return np.concatenate([np.asarray(e.ids, np.uint32) for e in found]) if found else np.zeros(0, np.uint32)
 
     def _words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The words in the order that suits, their ids, and each word's number of ids."""
-        letters, plain, odd = [], [], []
+        """The words in the order that suits, their ids, and each word's number of ids; A-Z is lower-cased already."""
+        letters, latin, plain, odd = [], [], [], []
         for w in words:  # small Latin letters are one word to the tokenizer, closed by its last id; others need a mark between
-            (letters if w.isalpha() and max(w) < "\u0250" and w == w.lower() else odd if "\0" in w else plain).append(w)
-        first, second = self._many(letters, " "), self._many(plain, " \0 ")
-        rest = [self._ids(w) for w in odd]
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and w == w.lower()):
+                (letters if w.isascii() else latin).append(w)
+            else:
+                (odd if "\0" in w else plain).append(w)
+        first = np.concatenate([self._many(self.ascii, letters, " "), self._many(self.latin, latin, " ")])
+        second, rest = self._many(self.tokenizer, plain, " \0 "), [self._ids(w) for w in odd]
         sizes = [np.diff(np.flatnonzero(self.closes[first]), prepend=-1), np.diff(np.flatnonzero(second == self.mark), prepend=-1) - 1]
         flat = np.concatenate([first, second[second != self.mark], *rest])
-        return letters + plain + odd, flat, np.concatenate([*sizes, np.array([len(r) for r in rest], np.int64)])
+        return letters + latin + plain + odd, flat, np.concatenate([*sizes, np.array([len(r) for r in rest], np.int64)])
 
     @staticmethod
     def _closed(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,14 +179,17 @@ class Tokens:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one text after another, and each text's number of ids; a null text has none."""
         filled = pc.fill_null(texts, "").cast(pa.large_string())
-        raw = filled.buffers()[2]
-        bytes_ = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
-        clean = pa.py_buffer(_ONE_SPACE[bytes_])
-        split = pc.split_pattern(pa.LargeStringArray.from_buffers(len(filled), filled.buffers()[1], clean, offset=filled.offset), " ")
+        if not len(filled):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        at, raw = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1], filled.buffers()[2]
+        own = bytes(raw.slice(at[0], at[-1] - at[0])) if raw else b""  # of a slice, its bytes alone: the buffer is the whole batch's
+        clean = pa.LargeStringArray.from_buffers(len(filled), pa.py_buffer(at - at[0]), pa.py_buffer(own.translate(_ONE_SPACE)))
+        split = pc.split_pattern(clean, " ")
         per_text = np.diff(np.asarray(split.offsets))
         coded = split.flatten().dictionary_encode()
         cut, mark = self._closed(coded.dictionary)
-        bases, known = coded.dictionary.to_pylist(), self.known
+        one = pa.LargeListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        bases, known = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), self.known
         for k in cut.tolist():
             bases[k] = bases[k][:-1]
         at = np.fromiter(map(known.get, bases, repeat(-1)), np.int64, len(bases))
