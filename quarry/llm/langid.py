@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import lean
+
 UNDETERMINED = "und"
 #: Phrases a symbol above which no sample explains a text: its longest matches are shorter than 1.7 symbols on average.
 MOST_PHRASES = 0.6
@@ -343,4 +345,4 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], text_col: str = "t
             good = np.fromiter((lang != UNDETERMINED for lang in langs), bool, len(langs)) & (phrases <= most_phrases)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(lean(keep), schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, free, materialised
+from quarry.llm.common import connected_components, free, give_back, lean, materialised
 from quarry.llm.simhash import majority, near_pairs
 
 SEED, WIDTH, SIMILARITY = 42, 5, 0.8
@@ -78,7 +78,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "class", "n", "fp", "sigs"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(of, "id long, class long, n int, fp long, sigs array<long>")
+    return narrow.mapInArrow(lean(of), "id long, class long, n int, fp long, sigs array<long>")
 
 
 def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             own = pa.array([class_of(shingles(t.as_py())) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(mark, f"{fields}, {name} long")
+    return docs.mapInArrow(lean(mark), f"{fields}, {name} long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     ids = wanted.select("id").distinct()
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = narrow.join(ids, narrow["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    found = texts.mapInArrow(of, "class long, own binary")
+    found = texts.mapInArrow(lean(of), "class long, own binary")
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -125,6 +125,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int =
                     a_out.append(a)
                     b_out.append(int(b))
             yield pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)})
+        give_back()
 
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("chunks"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
@@ -135,7 +136,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int =
     return grouped.mapInPandas(compare, "a long, b long")
 
 
-def _joined_in(one: list[np.ndarray], other: list[np.ndarray], similarity: float, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def _joined_in(one: list[np.ndarray], other: list[np.ndarray], similarity: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """All (i, j) with ``one[i]`` and ``other[j]`` at ``similarity`` or more, by common shingles counted as matrix products."""
     sizes = [np.fromiter(map(len, s), np.int64, len(s)) for s in (one, other)]
     flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (one, other)]
@@ -173,6 +174,9 @@ def _across(members: DataFrame, sets: DataFrame, similarity: float, most: int, m
         right = left if right.empty else right
         sets = [[np.frombuffer(s, np.uint64) for s in f["own"]] for f in (left, right)]
         i, j = _joined_in(*sets, similarity)
+        del sets
+        if len(frame) > 500:  # the many small groups leave little behind
+            give_back()
         a, b = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
         ca, cb = left["component"].to_numpy()[i], right["component"].to_numpy()[j]
         a, b, ca, cb = (x[ca != cb] for x in (a, b, ca, cb))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import lean, slices
 
 SEQUENCE_TOKENS = 2048
 #: Segments that one sequence of documents holds at most.
@@ -280,5 +280,5 @@ def pack_documents(
         yield from rows(packer.flush())
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = narrow.mapInArrow(pack, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    out = narrow.mapInArrow(lean(pack), "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
     return out.withColumnRenamed("doc_id", id_col)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import lean
+
 #: Fixed patterns: kind -> (pattern, group whose length counts, least length). Matches are leftmost, not overlapping.
 BASE = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -173,4 +175,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
                     columns[length_at] = pa.array(new, batch.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(mask, schema)
+    return docs.mapInArrow(lean(mask), schema)
