@@ -95,6 +95,18 @@ def test_trees_are_compared_once_for_all_their_pairs(spark, monkeypatch):
     assert found == sorted(once * 10) and seen == [5]
 
 
+def test_pairs_and_changes_meet_in_blocks_over_many_tasks(spark, monkeypatch):
+    for most, number in (("PAIRS_OF_A_TASK", 10), ("CHANGES_OF_A_TASK", 20), ("ROWS_OF_A_TASK", 1000)):
+        monkeypatch.setattr(diff, most, number, raising=False)
+    entries = spark.range(200).selectExpr("'t' as directory_id", "'f' || id as name", "'file' as type", "'x' || id as target", "1 as perms")
+    pairs = spark.range(150).selectExpr("id as pair", "cast(null as string) as old_dir", "'t' as new_dir")
+    found = diff.diff_directories(pairs, entries)
+    rows = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == found.distinct().count() == 200 * 150
+    # one group of 150 pairs and 200 changes: 150 blocks of some 200 rows in 30 tasks, none with a fifth of the rows
+    assert len(rows) > 15 and max(r["n"] for r in rows) < 200 * 150 / 5
+
+
 def test_documents_of_one_file_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(paging, "ROWS_OF_A_TASK", 150)
     assert same_as_sql(spark, tmp_path, "migrate_revision_metadata", "part")
