@@ -99,19 +99,38 @@ def snapshot_resolve_alias(asked: DataFrame, branches: DataFrame) -> DataFrame:
     return snapshot_branch_get_by_name(asked, branches).select("ord", "target_type", "target")
 
 
+#: Origins of one snapshot that meet a part of its branches in one block of a join, and parts of the branches of such snapshots.
+ORIGINS_OF_A_TASK, PARTS_OF_A_SNAPSHOT = 1000, 8
+
+
 def snapshot_get_latest(origins: DataFrame, statuses: DataFrame, branches: DataFrame, branches_count: int | None = None, allowed: list[str] | None = None) -> DataFrame:
-    """Branches of each origin's latest snapshot, at most ``branches_count`` by name."""
+    """Branches of each origin's latest snapshot, at most ``branches_count`` by name.
+
+    The latest snapshots are written first, so only their branches are dealt. Where many origins have one snapshot, its branches
+    go to blocks of these origins, and a block's origins meet one branch after another: rows that lie together are alike.
+    """
     if branches_count is not None and branches_count <= 0:
         raise ArgumentError("branches_count must be positive")
     rows = statuses.where("snapshot is not null").join(origins.select("origin").distinct(), "origin", "left_semi")
     if allowed:
         rows = rows.where(F.col("status").isin(allowed))
-    last = latest(rows, ["origin"], ["visit", "date"]).select("origin", F.col("snapshot").alias("snapshot_id"))
-    found = last.join(branches, "snapshot_id")
-    if branches_count is None:
-        return found
-    nth = F.row_number().over(Window.partitionBy("origin").orderBy("name"))
-    return found.withColumn("_n", nth).where(F.col("_n") <= branches_count).drop("_n")
+    last, _ = cut(latest(rows, ["origin"], ["visit", "date"]).select("origin", F.col("snapshot").alias("snapshot_id")), "latest")
+    blocks, shared = cut(last.groupBy("snapshot_id").agg(F.ceil(F.count("*") / ORIGINS_OF_A_TASK).cast("int").alias("_blocks")), "blocks", "_blocks > 1")
+    own = branches.join(blocks.select("snapshot_id"), "snapshot_id", "left_semi")
+    if branches_count is not None:
+        nth = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("name"))
+        own = own.withColumn("_n", nth).where(F.col("_n") <= branches_count).drop("_n")
+    at = ["snapshot_id"]
+    if shared:
+        at += ["_block", "_part"]
+        # as many tasks as other shuffles have, and no fewer than there are blocks of shared snapshots
+        parts = F.when(F.col("_blocks") > 1, PARTS_OF_A_SNAPSHOT).otherwise(1)
+        n = max(int(last.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.where("_blocks > 1").agg(F.sum(F.col("_blocks") * parts)).first()[0])
+        each = lambda number: F.explode(F.sequence(F.lit(0), number - 1))
+        drawn = lambda of, number: F.pmod(F.xxhash64(of), number).cast("int")
+        own = own.join(blocks, "snapshot_id").withColumn("_part", drawn("name", parts)).withColumn("_block", each(F.col("_blocks"))).drop("_blocks").repartition(n, *at)
+        last = last.join(blocks, "snapshot_id").withColumn("_block", drawn("origin", F.col("_blocks"))).withColumn("_part", each(parts)).drop("_blocks").repartition(n, *at)
+    return own.join(last.hint("merge"), at).select("snapshot_id", "origin", *[c for c in branches.columns if c != "snapshot_id"])
 
 
 def visits_and_snapshots_from_revision(asked: DataFrame, statuses: DataFrame, branches: DataFrame) -> DataFrame:

@@ -107,6 +107,29 @@ def test_pairs_and_changes_meet_in_blocks_over_many_tasks(spark, monkeypatch):
     assert len(rows) > 15 and max(r["n"] for r in rows) < 200 * 150 / 5
 
 
+def test_origins_of_one_snapshot_meet_its_branches_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "ORIGINS_OF_A_TASK", 5, raising=False)
+    statuses = spark.range(101).selectExpr("'o' || id as origin", "1L as visit", "id as date", "'full' as status", "if(id < 100, 's', 't') as snapshot")
+    statuses = statuses.unionByName(statuses.where("date = 7").selectExpr("origin", "2L as visit", "date", "status", "'gone' as snapshot"))
+    branches = spark.range(90).selectExpr("element_at(array('s', 't', 'u'), cast(id % 3 + 1 as int)) as snapshot_id", "lpad(id, 2, '0') as name", "'revision' as target_type", "'x' as target")
+    found = snapshot.snapshot_get_latest(statuses, statuses, branches)
+    rows = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert found.columns == ["snapshot_id", "origin", "name", "target_type", "target"]
+    assert sum(r["n"] for r in rows) == found.distinct().count() == 100 * 30
+    assert found.select("origin", "snapshot_id").distinct().groupBy("snapshot_id").count().orderBy("snapshot_id").collect() == [("s", 99), ("t", 1)]
+    assert len(rows) > 40 and max(r["n"] for r in rows) < 300
+    least = snapshot.snapshot_get_latest(statuses, statuses, branches, branches_count=2).groupBy("snapshot_id", "name").count().collect()
+    assert sorted(map(tuple, least)) == [("s", "00", 99), ("s", "03", 99), ("t", "01", 1), ("t", "04", 1)]
+    assert same_as_sql(spark, tmp_path, "snapshot_get_latest", *[t for t in projections.BASE if t != "events"], events="select event_id, ts, user_id * 7 as user_id, event_type from '/root/testdata/sf0.01/events.parquet'")
+
+
+def test_branches_of_older_snapshots_are_not_dealt(spark):
+    plan = queries.QUERIES["snapshot_get_latest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: max(len(x) - len(x.lstrip(" :+-")) for x in plan if kind in x) for kind in ("Aggregate [l_orderkey", "LeftSemi") if any(kind in x for x in plan)}
+    # the filter by latest snapshots is below the grouping of the lines
+    assert depth["LeftSemi"] > depth["Aggregate [l_orderkey"]
+
+
 def test_documents_of_one_file_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(paging, "ROWS_OF_A_TASK", 150)
     assert same_as_sql(spark, tmp_path, "migrate_revision_metadata", "part")
