@@ -69,30 +69,49 @@ def snapshot_get_branches(snapshot_id, snapshot: DataFrame, branches: DataFrame,
     return rows, token and token[0]
 
 
+#: Branches that are shuffled at a time, and in how many parts, by their snapshots, more are looked up one after another at most.
+BRANCHES_AT_A_TIME, PARTS_OF_BRANCHES = 25_000_000, 8
+
+
 def snapshot_branch_get_by_name(asked: DataFrame, branches: DataFrame, max_chain: int = 100) -> DataFrame:
     """``(ord, branch_found, target_type, target, aliases_followed)`` of ``asked(ord, snapshot_id, name)``.
 
-    Aliases are followed one join at a time over all questions. ``aliases_followed`` has the names met, the asked
-    and the last one included; a chain ends without a target at a name that isn't there, at one it met before, and
-    at ``max_chain`` names. ``branches`` is read once a round and counted for the number of tasks: pass a table, not a plan.
+    Aliases are followed one join at a time over all questions, or those of a part of the snapshots. ``aliases_followed`` has
+    the names met, the asked and the last one included; a chain ends without a target at a name that isn't there, at one it met
+    before, and at ``max_chain`` names. A round's shuffle files are deleted once its answers are written. ``branches`` is read
+    once a round and counted for the number of tasks and parts, ``asked`` once a part: pass tables, not plans.
     """
-    n, at = tasks_for(branches), ["snapshot_id", "_at"]
-    own = branches.select("snapshot_id", F.col("name").alias("_at"), F.struct("target_type", "target").alias("_b"), F.lit(True).alias("_hit")).repartition(n, *at)
+    rows = branches.count()
+    parts = min(PARTS_OF_BRANCHES, max(1, -(-rows // BRANCHES_AT_A_TIME)))
+    key = F.xxhash64(F.col("snapshot_id").cast(branches.schema["snapshot_id"].dataType))
+    of = lambda df, part: df.where(F.pmod(key, F.lit(parts)) == part) if parts > 1 else df
+    n = tasks_for(branches, -(-rows // parts))
+    return reduce(DataFrame.unionByName, [x for part in range(parts) for x in _follow_aliases(of(asked, part), of(branches, part), n, max_chain)])
+
+
+def _follow_aliases(asked: DataFrame, branches: DataFrame, n: int, max_chain: int) -> list[DataFrame]:
+    at = ["snapshot_id", "_at"]
+    own = branches.select("snapshot_id", F.col("name").alias("_at"), "target_type", "target", F.lit(True).alias("_hit")).repartition(n, *at)
     kind = branches.schema["name"].dataType.simpleString()
-    empty = F.array().cast(f"array<{kind}>")
-    now = asked.select("ord", "snapshot_id", F.col("name").alias("_at"), empty.alias("chain"))
-    done = []
-    for _ in range(max_chain):
+    now, done = asked.select("ord", "snapshot_id", F.col("name").alias("_at")), []
+    for k in range(max_chain):
         step = now.repartition(n, *at).join(own, at, "left")
+        if not k:  # an empty chain is not carried through the shuffle
+            step = step.withColumn("chain", F.array().cast(f"array<{kind}>"))
         step = step.withColumn("met", F.array_contains("chain", F.col("_at"))).withColumn("chain", F.when(F.col("_hit"), F.concat("chain", F.array("_at"))).otherwise(F.col("chain")))
-        alias = F.coalesce(F.col("_b.target_type") == "alias", F.lit(False))
-        step, _ = cut(step.withColumn("alias", alias).withColumn("over", ~alias | F.col("met") | (F.size("chain") >= max_chain)), "alias")
-        target = F.when(~F.col("alias"), F.col("_b"))
-        done.append(step.where("over").select("ord", (F.size("chain") > 0).alias("branch_found"), target["target_type"].alias("target_type"), target["target"].alias("target"), F.col("chain").alias("aliases_followed")))
-        now = step.where("not over").select("ord", "snapshot_id", F.col("_b.target").cast(kind).alias("_at"), "chain")
-        if now.isEmpty():
+        step = step.withColumn("alias", F.coalesce(F.col("target_type") == "alias", F.lit(False)))
+        step = step.withColumn("followed", F.col("alias") & ~F.col("met") & (F.size("chain") < max_chain))
+        # of an answer only what is returned is written, of a name to follow only what is asked next
+        step = step.select(
+            "ord", "chain", "followed", F.when(F.col("followed"), F.col("snapshot_id")).alias("snapshot_id"),
+            F.when(~F.col("alias"), F.col("target_type")).alias("target_type"), F.when(~F.col("alias") | F.col("followed"), F.col("target")).alias("target"),
+        )
+        step, followed = cut(step, "alias", "followed", lean=True)
+        done.append(step.where("not followed").select("ord", (F.size("chain") > 0).alias("branch_found"), "target_type", "target", F.col("chain").alias("aliases_followed")))
+        if not followed:
             break
-    return reduce(DataFrame.unionByName, done)
+        now = step.where("followed").select("ord", "snapshot_id", F.col("target").cast(kind).alias("_at"), "chain")
+    return done
 
 
 def snapshot_resolve_alias(asked: DataFrame, branches: DataFrame) -> DataFrame:

@@ -31,11 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step", of: str = "true") -> tuple[DataFrame, int]:
+#: Whether Spark deletes the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str = "step", of: str = "true", lean: bool = False) -> tuple[DataFrame, int]:
     """``df`` written as Parquet to the shared folder and read again, and its number of rows ``of`` which a condition holds.
 
-    A short plan that lost executors don't undo; the rows are counted by the job that writes them.
+    A short plan that lost executors don't undo; the rows are counted by the job that writes them. With ``lean`` the shuffle
+    files of that job are deleted once it ends, and the rows are compressed more, which takes longer.
     """
-    path, seen = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", Observation()
-    df.observe(seen, F.count_if(F.expr(of)).alias("rows")).write.parquet(path)
+    path, seen, conf = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", Observation(), df.sparkSession.conf
+    before = conf.get(FREED, "false")
+    try:
+        if lean:
+            conf.set(FREED, "true")
+        writer = df.observe(seen, F.count_if(F.expr(of)).alias("rows")).write
+        (writer.option("compression", "zstd") if lean else writer).parquet(path)
+    finally:
+        if lean:
+            conf.set(FREED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
